@@ -66,7 +66,12 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row of docs for each group, with all its columns: that of the largest doc_id, or any one of the rows that are equal
     in doc_id and text. Null doc_ids stay only in groups that have no other."""
     _, groups = duplicate_groups(docs)
-    winners = groups.select("keep_id", F.col("digest").alias("__digest"))
-    marked = docs.withColumn("__digest", sha256(ascii_lower(F.coalesce(F.col("text"), F.lit("")))))
-    same = marked["doc_id"].eqNullSafe(winners["keep_id"]) & (marked["__digest"] == winners["__digest"])
-    return marked.join(winners, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).select(docs.columns)
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumns({"__id": F.coalesce(F.col(name), F.lit(0)), "__null": F.col(name).isNull()})
+
+    keys = ["__id", "__null", "__digest"]
+    winners = keyed(groups.select("keep_id", F.col("digest").alias("__digest")), "keep_id").select(keys)
+    marked = keyed(docs, "doc_id").withColumn("__digest", sha256(ascii_lower(F.coalesce(F.col("text"), F.lit("")))))
+    # the join deals rows out by the same keys that repeated rows share, so whole texts are shuffled once here
+    return marked.join(winners, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
