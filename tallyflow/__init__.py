@@ -1,0 +1 @@
+"""Event-time dataflows on Spark whose rows say how much each source contributed to them."""
