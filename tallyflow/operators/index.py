@@ -146,7 +146,7 @@ class TemporalIndex:
         until = first + max(0, horizon - first) // width * width
         start = F.lit(first) + F.floor((F.col("ts") - first) / width) * width
         old = self.rows.where(F.col("ts") < until).groupBy(start.cast("bigint").alias("ts")).agg(*[F.sum(c).alias(c) for c in (*self.counts, "n")])
-        exact = replace(self, rows=self.rows.where(F.col("ts") >= until))
+        exact = replace(self.expire_before(until), horizon=self.horizon)  # its guard holds the sums before
         return SummarizedIndex(exact, TemporalIndex.of_times(old, self.channels, max(self.bucket, width)), first, width, until)
 
     # --- facts
