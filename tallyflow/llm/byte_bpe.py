@@ -18,42 +18,44 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm.common import text_chunks
 
-#: Merges of pre-tokens are remembered for so many pre-tokens of at most so many bytes.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
+#: The ids of pre-tokens of at most so many characters are remembered, for so many of them twice over.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 MASK = (1 << 64) - 1
 
 
 class PerfectHash:
-    """A minimal perfect hash by displacement: keys fall into buckets, and each bucket, largest first, takes the first seed
-    that sends its keys to free slots. Slots are as many as keys; the key kept in a slot tells strangers from members."""
+    """A minimal perfect hash by displacement: keys fall into buckets; each bucket, largest first, takes the first seed that sends
+    its keys to free slots, and buckets of one key take the slots that are left. Slots are as many as keys; the key kept in a slot
+    tells strangers from members."""
 
     def __init__(self, keys: list[bytes]):
         n = max(1, len(keys))
-        self.n, self.buckets = n, (n + 3) // 4
-        hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-        if len(np.unique(hashes)) != len(keys):
+        self.n, self.buckets = n, (n + 1) // 2
+        hashes = [xxhash.xxh3_64_intdigest(k) for k in keys]
+        if len({*hashes}) != len(keys):
             raise ValueError("keys repeat")
-        self.seeds, self.slot = np.zeros(self.buckets, np.uint32), np.full(n, -1, np.int64)
-        of = (hashes % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(of, kind="stable")
-        ends = np.cumsum(np.bincount(of, minlength=self.buckets))
-        members = np.split(order, ends[:-1])
-        for b in sorted(range(self.buckets), key=lambda b: -len(members[b])):
-            own = [int(hashes[i]) for i in members[b]]
-            seed = 0
-            while own:
-                at = [self._place(h, seed) for h in own]
-                if len({*at}) == len(at) and all(self.slot[x] < 0 for x in at):
-                    self.slot[at] = members[b]
-                    break
+        members: list[list[int]] = [[] for _ in range(self.buckets)]
+        for i, h in enumerate(hashes):
+            members[h % self.buckets].append(i)
+        self.seed, self.at = [0] * self.buckets, [-1] * n
+        order = sorted((b for b in range(self.buckets) if members[b]), key=lambda b: -len(members[b]))
+        for b in (b for b in order if len(members[b]) > 1):
+            own, seed = [hashes[i] for i in members[b]], 0
+            while len({*(at := [self._place(h, seed) for h in own])}) < len(at) or any(self.at[x] >= 0 for x in at):
                 seed += 1
-            self.seeds[b] = seed
-        self.keys = [keys[i] if i >= 0 else b"" for i in self.slot.tolist()]
-        self.at = self.slot.tolist()
-        self.seed = self.seeds.tolist()
+            self.seed[b] = seed
+            for x, i in zip(at, members[b], strict=True):
+                self.at[x] = i
+        free = iter([x for x in range(n) if self.at[x] < 0])
+        for b in (b for b in order if len(members[b]) == 1):
+            x = next(free)
+            self.seed[b], self.at[x] = -1 - x, members[b][0]
+        self.keys = [keys[i] if i >= 0 else b"" for i in self.at]
 
     def _place(self, h: int, seed: int) -> int:
-        x = (h ^ (seed * 0x9E3779B97F4A7C15 & MASK)) & MASK
+        if seed < 0:
+            return -1 - seed
+        x = (h ^ (seed * 0x9E3779B97F4A7C15)) & MASK
         x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & MASK
         return (x ^ (x >> 29)) % self.n
 
@@ -77,48 +79,54 @@ class ByteBPE:
         # \s and its complement as Unicode's White_Space, whatever a library adds to it
         blank = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{blank}").replace(r"\s", f"[{blank}]").replace(r"\S", f"[^{blank}]")).findall
+        #: What was merged of late, and before that: when the first is full, it becomes the second.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.pairs = [self.ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
 
     def merge(self, piece: bytes) -> list[int]:
         """Merges the pair of lowest rank, the leftmost of equals, until none is left; positions are linked both ways."""
-        ranks, n = self.ranks, len(piece)
-        right, left, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        rank, n = self.ranks.get, len(piece)
+        right, left, end = [*range(1, n + 1)], [*range(-1, n - 1)], [*range(1, n + 1)]
+        # an entry is a pair's rank, start and stop in one number, so that entries sort by rank, then from the left
+        k, pairs = n + 1, self.pairs
+        heap = [(r * k + i) * k + i + 2 for i in range(n - 1) if (r := pairs[piece[i] << 8 | piece[i + 1]]) is not None]
         heapq.heapify(heap)
-        alive = [True] * n
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            x, stop = divmod(heapq.heappop(heap), k)
+            i = x % k
             j = right[i]
-            if not alive[i] or j >= n or end[j] != stop:
+            if not end[i] or j >= n or end[j] != stop:
                 continue  # one side has been merged since
-            alive[j], end[i], right[i] = False, stop, right[j]
-            if right[j] < n:
-                left[right[j]] = i
-                if (r := ranks.get(piece[i : end[right[j]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[right[j]]))
-            if (p := left[i]) >= 0 and (r := ranks.get(piece[p:stop])) is not None:
-                heapq.heappush(heap, (r, p, stop))
+            end[j], end[i], after = 0, stop, right[j]
+            right[i] = after
+            if after < n:
+                left[after] = i
+                if (r := rank(piece[i : end[after]])) is not None:
+                    heapq.heappush(heap, (r * k + i) * k + end[after])
+            if (p := left[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
+                heapq.heappush(heap, (r * k + p) * k + stop)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(self.ranks[piece[i : end[i]]])
             i = right[i]
         return out
 
     def piece(self, token: str) -> tuple[int, ...]:
-        if (ids := self.known.get(token)) is None:
+        if (ids := self.older.get(token)) is None:
             raw = token.encode()
             at = self.whole.index(raw)
             ids = (self.ids[at],) if at >= 0 else tuple(self.merge(raw))
-            if len(raw) <= REMEMBERED_BYTES:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[token] = ids
+        if len(token) <= REMEMBERED_CHARS:
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known[token] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        known, piece, out = self.known.get, self.piece, []
+        piece, out = self.piece, []
         for token in self.find(text):
-            out += known(token) or piece(token)
+            out += self.known.get(token) or piece(token)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
