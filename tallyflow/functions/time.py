@@ -9,9 +9,14 @@ SECOND, MINUTE, HOUR, DAY = 1_000, 60_000, 3_600_000, 86_400_000
 
 
 def millis(col: Column | str) -> Column:
-    """Epoch milliseconds of a wall-clock timestamp column; what is below a millisecond is cut off, also before the epoch."""
-    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(col) if isinstance(col, str) else col)
-    return F.call_function("div", micros - F.pmod(micros, F.lit(1000)), F.lit(1000))
+    """Epoch milliseconds of a wall-clock timestamp column; what is below a millisecond is cut off, also before the epoch.
+
+    Put together from the date and the time of day, so that no session time zone and no summer time has a part in it.
+    """
+    ts = F.col(col) if isinstance(col, str) else col
+    days = F.date_diff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    second = F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("bigint")
+    return days * DAY + F.hour(ts) * HOUR + F.minute(ts) * MINUTE + second
 
 
 def floor_to(ts: Column, step: int) -> Column:

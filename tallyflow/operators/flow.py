@@ -118,6 +118,27 @@ class Flow:
             met = met.where(residual)
         return replace(self, df=met.select(stamp(F.col("l.__w"), size).alias(self.time), F.col(f"l.{key}").alias(key), *cols, *self._joined()))
 
+    def interval_join(self, other: Flow, key: str, before: int, after: int, cols: list[Column]) -> Flow:
+        """The inner join of rows of a key whose times are apart by r - l in [before, after]; the later time stays. Both sides are dealt
+        into slots as wide as the interval, so that the join is by equality: a row of the left looks into the slots it can reach."""
+        width = max(1, after - before)
+        reach = F.sequence(floor_to(F.col(self.time) + before, width), floor_to(F.col(self.time) + after, width), F.lit(width))
+        left = self.df.withColumn("__s", F.explode(reach)).alias("l")
+        right = other.df.withColumn("__s", floor_to(F.col(other.time), width)).alias("r")
+        apart = F.col(f"r.{other.time}") - F.col(f"l.{self.time}")
+        met = left.join(right, [F.col("l.__s") == F.col("r.__s"), F.col(f"l.{key}") == F.col(f"r.{key}")]).where(apart.between(before, after))
+        time = F.greatest(f"l.{self.time}", f"r.{other.time}").alias(self.time)
+        return replace(self, df=met.select(time, F.col(f"l.{key}").alias(key), *cols, *self._joined()))
+
+    def distinct_by(self, *key: str) -> Flow:
+        """One row of each key, for streams of rows that several paths have brought."""
+        return replace(self, df=self.df.dropDuplicates([*key]))
+
+    def map_frames(self, function: Callable, schema: str) -> Flow:
+        """The last resort for row logic that columns can't express: function maps iterators of pandas frames; it must pass on the
+        time and the annotation's columns, which schema names too."""
+        return replace(self, df=self.df.mapInPandas(function, schema))
+
     def _joined(self) -> list[Column]:
         if self.scheme == "counters":
             return [(F.col(f"l.{m}") + F.col(f"r.{m}")).alias(m) for m in self.marks]

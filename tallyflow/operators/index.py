@@ -193,6 +193,33 @@ class SummarizedIndex:
         return sums.withColumn("bytes", F.col("records") * 8 * (1 + m) + F.col("buckets") * 8 * (2 + m))
 
 
+# --- sweeps
+
+def query_lengths(index: TemporalIndex, lengths: list[int], each: int, seed: int = 42) -> DataFrame:
+    """`each` ranges of every length, at times drawn by hash over the index's span: (query_id, lo, hi, length)."""
+    ends = index.rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    n = index.rows.sparkSession.range(len(lengths) * each)
+    length = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in lengths]), (F.col("id") % len(lengths) + 1).cast("int"))
+    at = F.col("a") + F.pmod(F.xxhash64("id", F.lit(seed)), F.greatest(F.lit(1), F.col("b") - F.col("a") - length + 2))
+    drawn = n.join(F.broadcast(ends)).withColumn("length", length).withColumn("lo", at)  # one row of ends
+    return drawn.select(F.col("id").alias("query_id"), "lo", (F.col("lo") + F.col("length") - 1).alias("hi"), "length")
+
+
+def mismatches(a: DataFrame, b: DataFrame, channels: int) -> DataFrame:
+    """How many of the answers to the same ranges differ."""
+    names = [*[f"c{i}" for i in range(channels)], "n", "is_defined"]
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
+    both = a.alias("a").join(b.alias("b"), "query_id")
+    return both.agg(F.count(F.lit(1)).alias("queries"), F.count_if(~reduce(lambda x, y: x & y, same)).alias("mismatches"))
+
+
+def relative_errors(estimates: DataFrame, exact: DataFrame, channels: int) -> DataFrame:
+    """Mean and largest error of estimated counters, relative to the exact ones, or to 1 where those are smaller."""
+    both = estimates.alias("a").join(exact.alias("b"), "query_id")
+    errors = [F.abs(F.col(f"a.c{i}") - F.col(f"b.c{i}")) / F.greatest(F.lit(1), F.col(f"b.c{i}")) for i in range(channels)]
+    return both.select(F.explode(F.array(*errors)).alias("e")).agg(F.avg("e").alias("mean_error"), F.max("e").alias("max_error"))
+
+
 # --- answers
 
 def with_shares(answers: DataFrame, channels: int, zero: bool = False) -> DataFrame:

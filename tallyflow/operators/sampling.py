@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyflow.functions import algebra
 from tallyflow.functions.hashing import coin, fnv1a64, splitmix64, unsigned_order
 
 
@@ -19,6 +20,14 @@ def bottom_k(df: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
     return df.select(id_col).distinct().orderBy(rank, unsigned_order(F.col(id_col))).limit(k)
 
 
+def sampled_answers(flow, key: Column, probability: float, vector: bool = True) -> DataFrame:
+    """How much each channel contributed to the outputs whose key's hash falls under the probability: c0.., or their total."""
+    some = flow.where(coin(fnv1a64(key.cast("string")), probability))
+    if vector:
+        return some.dense()
+    return some.df.withColumn("total", algebra.total(some.counters())).drop(*some.marks)
+
+
 def captured(df: DataFrame, manifest: DataFrame, id_col: str) -> DataFrame:
     """The first row (least in all its columns) of each id of the manifest."""
     rest = [c for c in df.columns if c != id_col]

@@ -11,7 +11,7 @@ from tallyflow.functions import algebra
 from tallyflow.functions.time import DAY, HOUR, millis
 from tallyflow.operators import provenance, sampling
 from tallyflow.operators.flow import Flow, tag
-from tallyflow.operators.index import TemporalIndex, versioning, with_shares
+from tallyflow.operators.index import TemporalIndex, mismatches, query_lengths, relative_errors, versioning, with_shares
 from tallyflow.operators.tiers import TwoTier, sharded_answer
 from tallyflow.plans import dataflows
 from tallyflow.sources import arrival, generate, readers
@@ -401,8 +401,8 @@ def nested_paths(spark, sf_dir):
 # --- temporal index over orders: one output an order, in the channel of its status
 
 _OUT = f"SELECT ts_ms, CAST(o_orderstatus = 'F' AS BIGINT) AS c0, CAST(o_orderstatus = 'O' AS BIGINT) AS c1, CAST(o_orderstatus = 'P' AS BIGINT) AS c2, o_orderkey FROM ({ORDERS})"
-_FIRST = 694_224_000_000
-_ASKED = f"SELECT i AS query_id, {_FIRST} + i * {11 * DAY} - {400 * DAY} AS lo, {_FIRST} + i * {11 * DAY} - {400 * DAY} + (i % 9) * {5 * DAY} - {DAY} AS hi FROM range(300) g(i)"
+_FIRST = 788_918_400_000
+_ASKED = f"SELECT i AS query_id, {_FIRST} + i * {11 * DAY} - {100 * DAY} AS lo, {_FIRST} + i * {11 * DAY} - {100 * DAY} + (i % 9) * {5 * DAY} - {DAY} AS hi FROM range(300) g(i)"
 _SUMS = ", ".join(f"CAST(coalesce(sum(c{i}), 0) AS BIGINT) AS c{i}" for i in range(3)) + ", count(c0) AS n, count(c0) > 0 AS is_defined"
 
 
@@ -415,7 +415,7 @@ def outputs(spark, sf_dir) -> DataFrame:
 
 
 def asked(spark, n: int = 300, shift: int = 0) -> DataFrame:
-    lo = F.lit(_FIRST - 400 * DAY + shift) + F.col("id") * (11 * DAY)
+    lo = F.lit(_FIRST - 100 * DAY + shift) + F.col("id") * (11 * DAY)
     return spark.range(n).select(F.col("id").alias("query_id"), lo.alias("lo"), (lo + F.col("id") % 9 * (5 * DAY) - DAY).alias("hi"))
 
 
@@ -429,7 +429,7 @@ def index_shares(spark, sf_dir):
     return with_shares(TemporalIndex.build(outputs(spark, sf_dir), 3).answer(asked(spark)), 3).withColumns({f"share{i}": F.round(f"share{i}", 9) for i in range(3)})
 
 
-_LATER = _ASKED.replace(f"- {400 * DAY}", f"- {400 * DAY} + {365 * DAY}")
+_LATER = _ASKED.replace(f"- {100 * DAY}", f"- {100 * DAY} + {365 * DAY}")
 
 
 @query(f"WITH a AS ({_answer_sql()}), b AS ({_answer_sql(asked=_LATER)}) SELECT a.query_id, " + ", ".join(
@@ -477,9 +477,41 @@ def index_count_in(spark, sf_dir):
     return TemporalIndex.build(outputs(spark, sf_dir), 3).count_in(_FIRST, _FIRST + 100 * DAY)
 
 
+@query("SELECT CAST(300 AS BIGINT) AS queries, CAST(0 AS BIGINT) AS mismatches")
+def index_expiry_check(spark, sf_dir):
+    """Ranges after the horizon, asked of the whole and of the expired index."""
+    index = TemporalIndex.build(outputs(spark, sf_dir), 3)
+    inside = asked(spark).withColumns({"lo": F.greatest("lo", F.lit(_HORIZON)), "hi": F.greatest("hi", F.lit(_HORIZON))})
+    return mismatches(index.answer(inside), index.expire_before(_HORIZON).answer(inside), 3)
+
+
+@query()
+def index_summary_error(spark, sf_dir):
+    index = TemporalIndex.build(outputs(spark, sf_dir), 3)
+    return relative_errors(index.summarize_before(_HORIZON, _WIDTH).answer(asked(spark)), index.answer(asked(spark)), 3)
+
+
+@query()
+def index_query_lengths(spark, sf_dir):
+    index = TemporalIndex.build(outputs(spark, sf_dir), 3)
+    ranges = query_lengths(index, [DAY, 10 * DAY, 100 * DAY], 100)
+    return index.answer(ranges).join(ranges.select("query_id", "length"), "query_id").groupBy("length").agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("outputs"))
+
+
 _MARK = _FIRST + 1500 * DAY
 
 
+@query("SELECT CAST(300 AS BIGINT) AS queries, CAST(0 AS BIGINT) AS above")
+def tiers_provisional_below_final(spark, sf_dir):
+    """Provisional answers, asked before the rest of the outputs came, are never above the final ones."""
+    rows = outputs(spark, sf_dir)
+    early = TwoTier.empty(rows, 3).add(rows.where("o_orderkey % 3 <> 0"))
+    late = early.add(rows.where("o_orderkey % 3 = 0")).advance(_MARK * 2)
+    both = early.answer(asked(spark)).alias("a").join(late.answer(asked(spark)).alias("b"), "query_id")
+    above = (F.col("a.c0") > F.col("b.c0")) | (F.col("a.c1") > F.col("b.c1")) | (F.col("a.c2") > F.col("b.c2"))
+    return both.agg(F.count(F.lit(1)).alias("queries"), F.count_if(above).alias("above"))
+
+
 @query(f"SELECT *, hi <= {_MARK} AS is_final FROM ({_answer_sql(f'SELECT * FROM ({_OUT}) WHERE NOT (o_orderkey % 4 = 0 AND ts_ms <= {_MARK})')})")
 def tiers_answer(spark, sf_dir):
     rows = outputs(spark, sf_dir)
@@ -531,6 +563,19 @@ def sample_bernoulli(spark, sf_dir):
     return sampling.bernoulli(events(spark, sf_dir), F.col("user_id"), 0.2).select("event_id", "user_id")
 
 
+@query()
+def sampled_provenance(spark, sf_dir):
+    return sampling.sampled_answers(taxi_1_flow(spark, sf_dir, "counters"), F.concat_ws(":", "user_id", "ts_ms"), 0.3)
+
+
+@query(f"SELECT l.user_id, greatest(l.ts_ms, r.ts_ms) AS ts_ms, l.event_id AS click, r.event_id AS purchase, CAST(1 AS BIGINT) AS c0, CAST(1 AS BIGINT) AS c1 FROM ({EVENTS}) l JOIN ({EVENTS}) r ON l.user_id = r.user_id AND r.ts_ms - l.ts_ms BETWEEN {-HOUR} AND {5 * HOUR} WHERE l.event_type = 'click' AND r.event_type = 'purchase'")
+def interval_join(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    part = lambda kind, c: tag(rows.where(F.col("event_type") == kind), F.lit(c), 2, "counters").select("user_id", "event_id")
+    cols = [F.col("l.event_id").alias("click"), F.col("r.event_id").alias("purchase")]
+    return part("click", 0).interval_join(part("purchase", 1), "user_id", -HOUR, 5 * HOUR, cols).dense()
+
+
 @query()
 def output_digests(spark, sf_dir):
     return sampling.digests(taxi_1(spark, sf_dir), "ts_ms", ["user_id", "ts_ms", "solo_count", "crowded_count"])

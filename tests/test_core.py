@@ -1,5 +1,6 @@
 import argparse
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ from tallyflow.operators.index import TemporalIndex, versioning, with_shares
 from tallyflow.operators.tiers import TwoTier, sharded_answer
 from tallyflow.plans import dataflows, star
 from tallyflow.sources import arrival, generate, readers, sinks
-from tallyflow.streaming import jobs
+from tallyflow.streaming import jobs, monitor
 
 GOLDEN = [(1, 1, 4), (2, 1, 4), (3, 1, 2), (4, 3, 3), (5, 3, 0), (6, 2, 1)]
 
@@ -199,6 +200,14 @@ def test_time_before_the_epoch(spark):
     assert sorted(r[0] for r in df.select(millis("t")).collect()) == [-1, 1001]
 
 
+def test_time_of_day_in_any_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert spark.sql("select timestamp_ntz'2024-07-01 00:00:00' t").select(millis("t")).first()[0] == 1719792000000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 # --- provenance, sampling, sources
 
 
@@ -294,6 +303,21 @@ def test_acks_come_when_the_watermark_has_passed(spark, tmp_path):
     assert {("ACK", 1), ("ACK", 2), ("ACK", 3)} <= set(got) and ("ACK", 5) not in got
 
 
+def test_trace_of_a_query(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.range(100).select((F.col("id") * 1000).alias("ts_ms"), (F.col("id") % 5).alias("k")).coalesce(1).write.parquet(folder)
+    with monitor.Trace(spark) as trace:
+        stream = spark.readStream.schema("ts_ms bigint, k bigint").parquet(folder).withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", "5 seconds")
+        jobs.collected(jobs.counted(stream, "k", [], "10 seconds", "10 seconds"), "t", str(tmp_path / "c"), str(tmp_path / "o"))
+        for _ in range(50):
+            if trace.rows:
+                break
+            time.sleep(0.1)
+    assert sum(r["rows"] for r in trace.frame().collect()) == 100
+    delays = monitor.finality_delay(spark.createDataFrame([(5,), (50,)], "ts_ms bigint"), spark.createDataFrame([(0, 2, 9), (1, 7, 14)], "batch bigint, watermark bigint, latest bigint"))
+    assert {r.ts_ms: r.delay for r in delays.collect()} == {5: 9, 50: None}
+
+
 def test_lateness(spark):
     rows = spark.createDataFrame([(0, 1000), (0, 50_000), (1, 1500), (1, 39_000), (1, 45_000)], "batch bigint, ts_ms bigint")
     got = {r.ts_ms: (r.missed, r.late) for r in jobs.lateness(rows, 20_000, 10_000, 5_000).where("batch = 1").collect()}
