@@ -52,7 +52,8 @@ def exact_duplicates(docs: DataFrame, digest=sha256, salts: int = SALTS) -> Data
         "exact-groups",
     )
     total = one.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    joined = join_groups(rows.select("doc_id", "digest"), one.where("texts = 1").drop("texts"), "digest", "group_size", total)
+    found = written(rows.select("doc_id", "digest"), "exact-rows")  # the join reads it twice, and not the texts
+    joined = join_groups(found, one.where("texts = 1").drop("texts"), "digest", "group_size", total)
     collided = one.where("texts > 1").select("digest")
     if not collided.isEmpty():  # different texts with one digest: these rows alone are joined by their whole text
         again = rows.join(collided, "digest", "left_semi").join(groups.join(collided, "digest", "left_semi"), ["digest", "norm"])
