@@ -90,9 +90,12 @@ def brute_leaks(docs, items):
     for d, t in docs:
         w = words(t)
         for item, i in distinct.items():
-            n = min(13, len(item))
+            n, m = min(13, len(item)), len(w)
             spare = 2 if len(item) >= 13 else 0
-            if any(sum(x != y for x, y in zip(w[a : a + n], item[b : b + n], strict=True)) <= spare for a in range(len(w) - n + 1) for b in range(len(item) - n + 1)):
+            if m < n or len(item) < n:
+                continue
+            same = (np.array(w, object)[:, None] == np.array(item, object)[None]).astype(int)
+            if sum(same[k : m - n + 1 + k, k : len(item) - n + 1 + k] for k in range(n)).max() >= n - spare:
                 out[d].add(i)
     return {d: sorted(v) for d, v in out.items()}
 
