@@ -35,24 +35,60 @@ GENERATORS = {
 }
 #: Characters of context on either side.
 CONTEXT = 40
+#: Code points in a piece of a text, where contexts are looked up; no fewer than CONTEXT.
+PIECE = 1024
 #: Made-up examples the trees are fitted on; every fourth is left out for calibration. Trees, their step, and the precision asked for.
 EXAMPLES, TREES, STEP, PRECISION = 4096, 30, 0.4, 0.98
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_blocks(items: Column) -> Column:
+    """The items, cut into about as many blocks as each has items; work that is quadratic in a block or in their number stays small."""
+
+    def cut(xs: Column) -> Column:
+        k = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        last = F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / k).cast("int"))
+        return F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * k + 1, k)), lambda b: F.size(b) > 0)
+
+    return bound(items, cut)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All matches, as an array of (start, stop, value); positions are code points, stop is exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     kind = "struct<at:int,out:array<struct<start:int,stop:int,value:string>>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out")).cast(kind)
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast("struct<at:int,out:array<int>>")
 
     def add(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["gap"]
         b = a + F.char_length(x["value"])
         return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("stop"), x["value"].alias("value")))).alias("out")).cast(kind)
 
+    def placed(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, first, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        moved = lambda b, at: F.transform(b["out"], lambda x: F.struct((x["start"] + at).alias("start"), (x["stop"] + at).alias("stop"), x["value"].alias("value")))
+        return F.flatten(F.zip_with(blocks, starts, moved))
+
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("value")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, add)["out"]).otherwise(F.array().cast("array<struct<start:int,stop:int,value:string>>"))
+    listed = bound(F.transform(in_blocks(pairs), lambda b: F.aggregate(b, start, add)), placed)
+    return F.when(F.size(found) > 0, listed).otherwise(F.array().cast("array<struct<start:int,stop:int,value:string>>"))
+
+
+def grouped(items: Column) -> Column:
+    """Items sorted by their start, as blocks (low, high, items); low is the first start in a block and high the last stop."""
+    return F.transform(in_blocks(items), lambda b: F.struct(F.get(b, F.lit(0))["start"].alias("low"), F.array_max(F.transform(b, lambda y: y["stop"])).alias("high"), b.alias("items")))
+
+
+def meets(x: Column, blocks: Column, test: Callable[[Column], Column]) -> Column:
+    """Whether test holds of any item that overlaps x; blocks that end before x or start after it are passed over."""
+    over = lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])
+    return F.exists(blocks, lambda b: (b["low"] < x["stop"]) & (x["start"] < b["high"]) & F.exists(b["items"], lambda y: over(y) & test(y)))
 
 
 def digits(value: Column) -> Column:
@@ -93,14 +129,21 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def candidates(text: Column) -> Column:
     """What the generators propose: an array of (start, stop, value, kind number, before, after)."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
+    def cut(parts: Column, at: Column, n: Column) -> Column:  # n code points from at on, found without a walk through the text
+        j = F.floor(at / PIECE).cast("int")
+        near = F.concat(*[F.coalesce(F.get(parts, i), F.lit("")) for i in (j, j + 1)])
+        return F.lower(F.substring(near, at - j * PIECE + 1, n))
 
     def proposed(kind: str, pattern: str) -> Column:
-        return F.transform(spans(text, pattern), lambda x: F.struct(
+        made = lambda x, parts: F.struct(
             x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), F.lit(KINDS.index(kind)).alias("kind"),
-            F.lower(F.substring(text, F.greatest(F.lit(1), x["start"] - CONTEXT + 1), F.least(x["start"], F.lit(CONTEXT)))).alias("before"),
-            F.lower(F.substring(text, x["stop"] + 1, F.lit(CONTEXT))).alias("after"),
-        ))
+            cut(parts, F.greatest(F.lit(0), x["start"] - CONTEXT), F.least(x["start"], F.lit(CONTEXT))).alias("before"),
+            cut(parts, x["stop"], F.lit(CONTEXT)).alias("after"),
+        )
+        some = lambda xs: bound(F.when(F.size(xs) > 0, pieces), lambda parts: F.transform(xs, lambda x: made(x, parts)))
+        return bound(spans(text, pattern), some)
 
     return F.concat(*[proposed(k, p) for k, p in GENERATORS.items()])
 
@@ -303,13 +346,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     base = F.concat(*map(numbered, BASE_KINDS))
     rows = rows.select("doc_id", "text", F.sort_array(base).cast(kind).alias("base"), candidates(F.col("text")).alias("cands"))
     limit = F.array(*[F.lit(float(x)) for x in limits])
-    apart = lambda a, b: (a["stop"] <= b["start"]) | (b["stop"] <= a["start"])
-    free = F.filter("cands", lambda x: F.forall("base", lambda b: apart(x, b)))
+    free = bound(grouped(F.col("base")), lambda g: F.filter("cands", lambda x: ~meets(x, g, lambda y: F.lit(True))))
     rows = rows.withColumn("cands", F.when(F.size("cands") > 0, free).otherwise(F.col("cands")))
-    scored = F.transform("cands", lambda x: F.struct(F.aggregate(F.array(_vector(x)), F.lit(0.0), lambda _, v: trees.column(v)).alias("score"), x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop")))
-    rows = rows.withColumn("cands", F.filter(scored, lambda x: x["score"] >= F.get(limit, x["kind"])))
+    scored = F.transform("cands", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.aggregate(F.array(_vector(x)), F.lit(0.0), lambda _, v: trees.column(v)).alias("score")))
+    rows = rows.withColumn("cands", F.sort_array(F.filter(scored, lambda x: x["score"] >= F.get(limit, x["kind"]))))
     better = lambda y, x: (y["score"] > x["score"]) | ((y["score"] == x["score"]) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["kind"] < x["kind"]))))
-    best = F.filter("cands", lambda x: ~F.exists("cands", lambda y: better(y, x) & ~apart(x, y)))
+    best = bound(grouped(F.col("cands")), lambda g: F.filter("cands", lambda x: ~meets(x, g, lambda y: better(y, x))))
     added = F.sort_array(F.transform(best, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))))
     return rows.select("doc_id", "text", "base", added.cast(kind).alias("added"))
 
@@ -323,13 +365,24 @@ def listed(found: Column) -> Column:
 def redact(found: DataFrame) -> DataFrame:
     """(doc_id, text) of what personal_data() gave, with each span replaced by its kind in angle brackets; of overlapping base spans
     the first is named and the rest of the stretch goes with it."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    kind = "struct<at:int,out:array<string>>"
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
     names = F.array(*map(F.lit, KINDS))
 
-    def add(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
-        new = x["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit("<"), F.get(names, x["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"))
+    def block(done: Column, xs: Column) -> Column:  # looks at the stretch of the text that the block covers
+        to = F.array_max(F.transform(xs, lambda x: x["stop"]))
+
+        def within(stretch: Column) -> Column:
+            def add(acc: Column, x: Column) -> Column:
+                gap = F.substring(stretch, acc["at"] - done["at"] + 1, x["start"] - acc["at"])
+                new = F.when(x["start"] >= acc["at"], F.array(F.concat(gap, F.lit("<"), F.get(names, x["kind"]), F.lit(">")))).otherwise(F.array().cast("array<string>"))
+                return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], new).alias("out")).cast(kind)
+
+            return F.aggregate(xs, F.struct(done["at"].alias("at"), F.array().cast("array<string>").alias("out")).cast(kind), add)
+
+        inner = bound(F.substring(F.col("text"), done["at"] + 1, to - done["at"]), within)
+        return bound(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(done["out"], F.array(F.array_join(i["out"], ""))).alias("out")).cast(kind))
 
-    done = F.aggregate(F.sort_array(F.concat("base", "added")), state, add)
-    return found.withColumn("done", done).select("doc_id", F.concat(F.col("done.out"), F.substring(F.col("text"), F.col("done.at") + 1, F.char_length("text"))).alias("text"))
+    done = F.aggregate(in_blocks(F.sort_array(F.concat("base", "added"))), state, block)
+    rest = F.substring(F.col("text"), F.col("done.at") + 1, F.char_length("text"))
+    return found.withColumn("done", done).select("doc_id", F.concat(F.array_join("done.out", ""), rest).alias("text"))

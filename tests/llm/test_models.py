@@ -68,6 +68,24 @@ def test_added_spans_and_redaction(make):
     assert out[1] == "call me <phone> now" and out[9] == texts[9] and out[10].startswith("write <email> or <email>")
 
 
+def test_spans_of_a_text_with_very_many_are_those_of_its_parts(make):
+    part = "call me (212) 555-0199 or a@b.co, visa 4111.1111.1111.1111, from 1.2.3.4.5.6.7.8@y.de; "
+    copies = 150
+    found = pii.personal_data(make([(1, part * copies)]))
+    row = found.first()
+    for spans, least in ((row.base, 3 * copies), (row.added, 2 * copies)):
+        by_copy = [[] for _ in range(copies)]
+        for x in spans:
+            by_copy[x.start // len(part)].append((x.start % len(part), x.kind, x.stop - x.start))
+        assert len(spans) >= least
+        assert all(x == by_copy[1] for x in by_copy[1:])
+    every = sorted((x.start, x.stop) for x in row.added)
+    assert all(a[1] <= b[0] for a, b in zip(every, every[1:], strict=False))
+    assert not any(a.start < b.stop and b.start < a.stop for a in row.added for b in row.base)
+    clean = pii.redact(found).first().text
+    assert clean.count("<phone>") == copies and "@" not in clean and "4111" not in clean
+
+
 def test_trees_tell_left_out_examples_apart(spark):
     trees, limits = pii.model(spark)
     assert all(math.isfinite(x) for x in limits) and trees.trees
