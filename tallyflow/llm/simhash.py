@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return join_groups(prints, written(named, "components"), "fp", "n", total).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+def drop_near_duplicates(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, with all their columns; find says which component each is of."""
+    found = find(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").select(docs.columns)

@@ -277,3 +277,44 @@ def test_pipeline_equals_stage_by_stage_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id: r.ids for r in got} == want and len(got) == len(want) and all(r.n_tokens == len(r.ids) for r in got)
     assert leaks or len(kept) < len(texts)
+
+
+def five_word_shingles(text):
+    words = (text or "").translate(UPPER).encode().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_near_copies(rows):
+    """Each row's least doc_id over links of a 5-word-shingle similarity of 0.8, and how many pairs are linked."""
+    sets, least, pairs = [five_word_shingles(t) for _, t in rows], [d for d, _ in rows], []
+    for a in range(len(rows)):
+        for b in range(a):
+            if min(len(sets[a]), len(sets[b])) * 5 >= max(len(sets[a]), len(sets[b])) * 4:
+                both = len(sets[a] & sets[b])
+                if both * 5 >= (len(sets[a]) + len(sets[b]) - both) * 4:
+                    pairs.append((a, b))
+    for _ in rows:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return least, pairs
+
+
+def test_pipeline_drops_near_copies_of_similarity_0_8(spark, make):
+    r = random.Random(4)
+    base = [[f"w{r.randrange(5000)}" for _ in range(r.choice([40, 100, 300]))] for _ in range(60)]
+    texts = [None, "", " ", "one", "One ", "a b c", "a b d"]
+    for words in base:
+        texts.append(" ".join(words))
+        for n in range(3):
+            copy = list(words)
+            for i in r.sample(range(len(copy)), max(1, len(copy) * n // 100)):
+                copy[i] = "other"
+            texts.append("\t".join(copy))
+    for n in range(80):  # one large group, hardly any two of which are the same
+        copy = [f"g{i}" for i in range(200)]
+        copy[r.randrange(200)], copy[r.randrange(200)] = "x", f"y{n}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    least, pairs = brute_near_copies(rows)
+    kept = sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, make(rows), "").collect())
+    assert kept == [i for i, _ in rows if least[i] == i] and len(pairs) > 200 and len(kept) < len(rows) // 2
