@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyflow.llm.common import HOT_SHARE, join_groups, text_chunks, written
 
@@ -194,12 +195,8 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(state.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """A row for each row of docs: doc_id, fp (signed long), component_id (the smallest doc_id reachable over links).
-
-    Null texts, empty texts and texts without words have fingerprint 0 and are linked like any other; null doc_ids are never
-    the smallest unless a component has no other. Repeated rows keep their own rows. An empty table gives an empty result.
-    """
+def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """What near_duplicates returns, and root: a fingerprint that is the same for all of a component."""
     prints = written(fingerprints(docs), "fingerprints")
     by_fp = written(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "by-fingerprint")
     roots = components(links(by_fp.select("fp"), radius))
@@ -208,13 +205,44 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = (
         rooted.join(by_fp.select(F.col("fp").alias("root"), F.col("least").alias("own")), "root", "left")
         .join(least, "root", "left")
-        .select("fp", "n", F.least("own", "other", "least").alias("component_id"))
+        .select("fp", "n", "root", F.least("own", "other", "least").alias("component_id"))
     )
     total = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return join_groups(prints, written(named, "components"), "fp", "n", total).select("doc_id", "fp", "component_id")
+    return join_groups(prints, written(named, "components"), "fp", "n", total).select("doc_id", "fp", "component_id", "root")
 
 
-def drop_near_duplicates(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns; find says which component each is of."""
-    found = find(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(docs.columns)
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """A row for each row of docs: doc_id, fp (signed long), component_id (the smallest doc_id reachable over links).
+
+    Null texts, empty texts and texts without words have fingerprint 0 and are linked like any other; null doc_ids are never
+    the smallest unless a component has no other. Repeated rows keep their own rows. An empty table gives an empty result.
+    """
+    return grouped(docs, radius).drop("root")
+
+
+def text_fingerprints(texts: pa.Array) -> np.ndarray:
+    return np.array([fingerprint(x or b"") for x in texts.cast(pa.binary()).to_pylist()], np.uint64)
+
+
+def _one_of_nulls(docs: DataFrame, found: DataFrame, prints: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """One row of each component that has null doc_ids alone: of its smallest fingerprint, the row of the smallest text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text"):
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints(batch.column("text")).view(np.int64))], [*batch.schema.names, "__fp"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    rows = docs.where("doc_id is null").mapInArrow(run, schema)
+    each = rows.groupBy("__fp").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("__row"))
+    chosen = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias("__fp")).select("__fp")
+    return each.join(chosen, "__fp", "left_semi").select("__row.*")
+
+
+def drop_near_duplicates(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = grouped, prints: Callable[[pa.Array], np.ndarray] = text_fingerprints) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, and one row of each component without any doc_id, with all
+    their columns. find says which component each row is of, by the fingerprints that prints gives texts."""
+    found = find(docs)
+    least = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(least, "doc_id", "left_semi").select(docs.columns)
+    return kept.unionByName(_one_of_nulls(docs, found, prints))

@@ -318,3 +318,13 @@ def test_pipeline_drops_near_copies_of_similarity_0_8(spark, make):
     least, pairs = brute_near_copies(rows)
     kept = sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, make(rows), "").collect())
     assert kept == [i for i, _ in rows if least[i] == i] and len(pairs) > 200 and len(kept) < len(rows) // 2
+
+
+def test_near_dedup_keeps_one_row_of_components_without_ids(spark, make):
+    long = " ".join(f"n{i}" for i in range(100))
+    rows = [(None, "alone and without any id at all"), (None, long), (None, long.replace("n50 ", "other ")), (None, long + " "), (3, "has an id of its own here"), (None, "has an id of its own  here"), (None, "")]
+    for drop, given in ((lambda d: corpus_pipeline.drop_near_copies(spark, d, ""), rows), (simhash.drop_near_duplicates, rows[:2] + rows[3:])):
+        out = drop(make(given, ["fp", "root"]))
+        got = [(x.doc_id, (x.text or "").split()[:2]) for x in out.collect()]
+        assert sorted(got, key=str) == sorted([(None, ["alone", "and"]), (None, ["n0", "n1"]), (3, ["has", "an"]), (None, [])], key=str)
+        assert out.columns == make([], ["fp", "root"]).columns
