@@ -218,38 +218,79 @@ def test_language_model_base_and_gain(spark, make, small):
 
 
 def test_predictive_probabilities_sum_to_one(spark, make):
-    """Every word after one context, and one unknown word, through the whole operator: the model's own end is known too."""
+    """After each context, a word never seen as one and the start of a text: every word, the end, and one unknown word."""
     r = random.Random(2)
     vocab = [f"v{i}" for i in range(12)]
-    train = [(i, " ".join(r.choice(vocab) for _ in range(8))) for i in range(200)]
-    probes = [w for w in [*vocab, "unknown-word"]]
-    base = [x for x in range(10**6, 10**6 + 400) if zlib.crc32(str(x).encode()) % 7 == 2]
-    # "a w" less "a": P(w | a) P(end | w) / ..., so w's end is divided out by a text of w's context alone
-    ids = iter(base)
-    rows, names = [], {}
-    for w in probes:
-        for text in (w, f"{w} {w}"):
-            i = next(ids)
-            names[i] = text
-            rows.append((i, text))
-    rows.append((next(ids), ""))
-    got = {names.get(x.doc_id, ""): x.score for x in pitman_yor.score_documents(make(train + rows)).collect() if x.doc_id >= 10**6}
-    start = {}
-    for w in probes:  # score(w w) - score(w) = log P(w | w's context); P(end | w's context) stays unknown but is below one
-        stay = 10 ** (got[f"{w} {w}"] - got[w])
-        assert 0 < stay < 1
-        start[w] = 10 ** got[w]
-    assert sum(start.values()) + 10 ** got[""] < 1
-
-
-def test_seating_follows_the_exact_law():
+    train = [(i, " ".join(r.choice(vocab[: 1 + i % 12]) for _ in range(8))) for i in range(200)]
+    ids = iter(x for x in range(10**6, 10**6 + 4000) if zlib.crc32(str(x).encode()) % 7 == 2)
+    rows = [(next(ids), f"{u} {w}".strip()) for u in [*vocab, "never", ""] for w in [*vocab, "unknown", ""]]
+    texts = dict(rows)
+    found = pitman_yor.score_documents(make(train + rows), each=True).where("held_out").collect()
+    given = defaultdict(dict)
+    for x in found:
+        if x.doc_id in texts:
+            words = texts[x.doc_id].split(" ") if texts[x.doc_id] else []
+            assert len(x.token_scores) == len(words) + 1 and abs(sum(x.token_scores) - x.score) < 1e-9
+            for u, w, p in zip(["", *words], [*words, "end"], x.token_scores, strict=True):
+                given[u][w] = 10**p
+    for u in [*vocab, "never", ""]:
+        seen = {w: p for w, p in given[u].items() if w != "never"}
+        assert len(seen) == 14 and abs(sum(seen.values()) - 1) < 1e-6, u
+
+
+def test_language_model_scores_do_not_depend_on_settings(spark, make, small):
+    rows = [(i, t) for i, t, _ in small[:120]] + [(7_000_001, "long text " * 60_000)]
+    docs = make(rows)
+    plain = {r.doc_id: r.score for r in pitman_yor.score_documents(docs).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        other = {r.doc_id: r.score for r in pitman_yor.score_documents(docs.repartition(5), limit=300, bytes_a_bucket=50_000).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plain.keys() == other.keys() and max(abs(plain[i] - other[i]) for i in plain) < 1e-6
+
+
+def test_language_model_is_no_worse_than_an_interpolated_bigram(spark):
+    rows = pitman_yor.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert 10 ** (-sum(r.score for r in rows) / sum(r.n_tokens for r in rows)) < 2955
+    more = pitman_yor.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), samples=4, burn_in=4).where("held_out").collect()
+    assert abs(sum(r.score for r in rows) / sum(r.score for r in more) - 1) < 0.002  # more rounds change little
+
+
+def stirling_law(n, weight, discount):
+    """How probable each number of tables of n customers is: ways to seat them, by the odds of each table opened beside so many."""
+    ways = [1.0]
+    for k in range(1, n):
+        ways = [(ways[t] * (k - discount * (t + 1)) if t < k else 0) + (ways[t - 1] if t else 0) for t in range(k + 1)]
+    odds = [w * math.prod(weight(i) for i in range(t + 1)) for t, w in enumerate(ways)]
+    return np.array(odds) / sum(odds)
+
+
+def test_moves_follow_the_exact_law():
+    n, many, d = 9, 30_000, 410
+    weight = lambda t: (0.5 + d / pitman_yor.UNIT * (3 + np.asarray(t))) * 0.2
+    seats = pitman_yor.Seating.opened(np.full(many, n), np.ones(many, np.int64))
+    keys = pitman_yor.finalise(np.arange(1, many + 1, dtype=np.uint64))
+    seats.moved(weight, d, keys, 5, 60)
+    assert (seats.customers() == n).all()
+    law = stirling_law(n, weight, d / pitman_yor.UNIT)
+    got = np.bincount(seats.tables() - 1, minlength=n) / many
+    assert abs(got - law).max() < 0.015
+    seats.brought_to(np.r_[np.full(many // 2, 3), np.full(many - many // 2, 14)], weight, d, keys, 6)
+    assert seats.customers().tolist() == [3] * (many // 2) + [14] * (many - many // 2)
+
+
+def test_first_seats_are_near_the_law_of_arrivals():
     rng = np.random.default_rng(1)
     n, d, w = 60, 0.4, 1.5
-    many = pitman_yor.seat(np.full(20000, n), np.full(20000, w), d, rng)
+    keys = pitman_yor.finalise(np.arange(20000, dtype=np.uint64))
+    many = pitman_yor.first_seats(np.full(20000, n), np.full(20000, w), d, keys, 3)
     exact = np.zeros(20000)
     for k in range(n):
         exact += rng.random(20000) < (1.0 if k == 0 else w / (w + k - d * exact)) if k else 1
-    assert abs(many.mean() - exact.mean()) < 0.25 and pitman_yor.seat(np.array([0, 1, 10**9]), np.ones(3), 0.5, rng)[:2].tolist() == [0, 1]
+    assert abs(many.mean() - exact.mean()) < 0.25
+    assert pitman_yor.first_seats(np.array([0, 1, 10**9]), np.ones(3), 0.5, keys[:3], 3)[:2].tolist() == [0, 1]
 
 
 def test_pipeline_equals_stage_by_stage_brute_force(spark, tmp_path):
