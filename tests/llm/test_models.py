@@ -272,7 +272,7 @@ def test_moves_follow_the_exact_law():
     weight = lambda t: (0.5 + d / pitman_yor.UNIT * (3 + np.asarray(t))) * 0.2
     seats = pitman_yor.Seating.opened(np.full(many, n), np.ones(many, np.int64))
     keys = pitman_yor.finalise(np.arange(1, many + 1, dtype=np.uint64))
-    seats.moved(weight, d, keys, 5, 60)
+    seats.moved(weight, d, keys, 5, 250)
     assert (seats.customers() == n).all()
     law = stirling_law(n, weight, d / pitman_yor.UNIT)
     got = np.bincount(seats.tables() - 1, minlength=n) / many
