@@ -34,19 +34,25 @@ def document_bucket(col: Column, modulus: int) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset, a local folder becomes it (tests, one machine)."""
+    """The shared folder of spark.checkpoint.dir; where that is unset and all runs on one machine, a local folder becomes it."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tallyflow.scratch", None)
     if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tallyflow-")
         spark.conf.set("spark.tallyflow.scratch", known)
     return known.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a new table in the shared folder and reads it back: its lineage ends there and a lost executor costs no recomputation."""
+    """Writes df to a new table in the shared folder and reads it back: its lineage ends there and a lost executor costs no recomputation.
+    The table goes with discard(), or at last when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,19 +7,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.llm.common import HOT_SHARE, join_groups, text_chunks, written
+from tallyflow.llm.common import HOT_SHARE, discard, join_groups, text_chunks, written
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
-#: Fingerprints compared at once: a tile pair needs TILE * TILE words of memory.
-TILE = 512
-#: A bucket with more fingerprints (and over one in HOT_SHARE of all) is dealt out by further bits.
+#: Fingerprints in a tile: a tile pair needs TILE * TILE words of memory.
+TILE = 128
+#: A bucket with more fingerprints is dealt out by further bits: over the cluster if it holds over one in HOT_SHARE of all, else in its task.
 BUCKET = 4096
+#: Rows of whole buckets that a task compares in one go.
+GO = 1 << 17
 #: Hashes expanded into bits at once.
 BLOCK = 1 << 15
 
@@ -53,16 +55,45 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return ids.mapInArrow(run, "doc_id long, fp long")
 
 
-def link_forest(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what fingerprints within radius connect, as few as a forest has: two arrays of fingerprints.
-
-    The fingerprints are sorted by population count and compared in tiles by exclusive-or and bit count; tile pairs whose
-    population counts differ beyond the radius are skipped, as then at least that many bits differ.
-    """
-    fps = np.unique(fps.astype(np.uint64))
-    counts = np.bitwise_count(fps).astype(np.int16)
-    order = np.argsort(counts, kind="stable")
-    fps, counts = fps[order], counts[order]
+class Tiles:
+    """Rows sorted by bucket, then by population count, and cut into tiles. Tiles are compared whole by exclusive-or and bit count,
+    each with itself and with those after it that its last bucket goes on in; a tile pair is skipped if its population counts differ
+    beyond the radius, as then at least that many bits differ."""
+
+    def __init__(self, keys: np.ndarray, prints: np.ndarray, radius: int, tile: int = TILE):
+        """prints: a row of words for each fingerprint."""
+        counts = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
+        self.order = np.lexsort((counts, keys))
+        self.keys, self.prints, self.counts = keys[self.order], prints[self.order], counts[self.order]
+        self.radius, self.tile, self.compared, self.skipped = radius, tile, 0, 0
+
+    def pairs(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(i, j, near): the tiles' first rows, and which of their rows are within the radius; only tile pairs that have some."""
+        n, tile = len(self.keys), self.tile
+        for i in range(0, n, tile):
+            last = min(i + tile, n) - 1
+            for j in range(i, n, tile):
+                if j > i and self.keys[j] != self.keys[last]:
+                    break
+                if j > i and self.counts[j] - self.counts[last] > self.radius:
+                    after = np.searchsorted(self.keys[j:], self.keys[j], "right")
+                    self.skipped += -(-int(after) // tile)
+                    break
+                self.compared += 1
+                differ = np.bitwise_count(self.prints[i : i + tile, None, 0] ^ self.prints[None, j : j + tile, 0])
+                for w in range(1, self.prints.shape[1]):
+                    differ = differ.astype(np.uint16) + np.bitwise_count(self.prints[i : i + tile, None, w] ^ self.prints[None, j : j + tile, w])
+                near = differ <= self.radius
+                if i == j:
+                    near = np.triu(near, 1)
+                if near.any():
+                    yield i, j, near
+
+
+def link_forest(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what fingerprints within radius in a bucket connect, as few as a forest has: two arrays of fingerprints."""
+    tiles = Tiles(np.zeros(len(fps), np.int64) if keys is None else keys, fps.astype(np.uint64)[:, None], radius, tile)
+    fps = tiles.prints[:, 0]
     parent = np.arange(len(fps))
     a_out, b_out = [], []
 
@@ -72,63 +103,78 @@ def link_forest(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tupl
             x = parent[x]
         return x
 
-    starts = range(0, len(fps), tile)
-    for i in starts:
-        last = counts[min(i + tile, len(fps)) - 1]
-        for j in range(i, len(fps), tile):
-            if counts[j] - last > radius:
-                break
-            near = np.bitwise_count(fps[i : i + tile, None] ^ fps[None, j : j + tile]) <= radius
-            if i == j:
-                near = np.triu(near, 1)
-            for x in np.flatnonzero(near.any(axis=1)):
-                y = np.flatnonzero(near[x]) + j
-                while len(y := y[parent[y] != parent[x + i]]):  # what is known to be connected goes at once
-                    p, q = root(int(x + i)), root(int(y[0]))
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        a_out.append(x + i)
-                        b_out.append(int(y[0]))
-                    parent[x + i], parent[y[0]] = min(p, q), min(p, q)
-                    y = y[1:]
+    for i, j, near in tiles.pairs():
+        for x in np.flatnonzero(near.any(axis=1)):
+            y = np.flatnonzero(near[x]) + j
+            while len(y := y[parent[y] != parent[x + i]]):  # what is known to be connected goes at once
+                p, q = root(int(x + i)), root(int(y[0]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    a_out.append(x + i)
+                    b_out.append(int(y[0]))
+                parent[x + i], parent[y[0]] = min(p, q), min(p, q)
+                y = y[1:]
     return fps[np.array(a_out, np.int64)], fps[np.array(b_out, np.int64)]
 
 
-def _pairs_in_buckets(radius: int):
-    """A function over batches sorted by (key..., fp): the forest edges of each bucket. Small buckets are done many at once."""
-
-    def flush(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(np.r_[edge, len(keys)])
-        out = [[], []]
-        size_of = np.repeat(sizes, sizes)
-        small = size_of <= 4
-        k, f = keys[small], fps[small]
-        for step in (1, 2, 3):
-            near = np.flatnonzero((k[step:] == k[:-step]) & (np.bitwise_count(f[step:] ^ f[:-step]) <= radius))
-            out[0].append(f[near])
-            out[1].append(f[near + step])
-        for i in np.flatnonzero(sizes > 4):
-            a, b = link_forest(fps[edge[i] : edge[i] + sizes[i]], radius)
-            out[0].append(a)
-            out[1].append(b)
-        a, b = np.concatenate(out[0]), np.concatenate(out[1])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def _finer(fps: np.ndarray, radius: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """A large bucket as small ones: (keys, fps). The bits in which its fingerprints vary are cut into radius + 1 fields; of two within the
+    radius, one field agrees. Where few bits vary there are few fingerprints, so this ends."""
+    vary = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [b for b in range(64) if vary >> b & 1]
+    if len(fps) <= bucket or len(bits) <= radius:
+        return np.zeros(len(fps), np.int64), fps
+    keys, out, used = [], [], 0
+    for field in _cells(bits, radius + 1):
+        value = fps & np.uint64(sum(1 << b for b in field))
+        names, which, sizes = np.unique(value, return_inverse=True, return_counts=True)
+        big = sizes > bucket
+        for k in np.flatnonzero(big):
+            inner, held = _finer(fps[which == k], radius, bucket)
+            keys.append(inner + used)
+            out.append(held)
+            used += int(inner.max()) + 1
+        rest = ~big[which]
+        keys.append(which[rest] + used)
+        out.append(fps[rest])
+        used += len(names)
+    return np.concatenate(keys), np.concatenate(out)
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], go: int = GO) -> Iterator[pa.Table]:
+    """Batches sorted by key, put together so that no bucket is cut."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        keys = batch.column("key").to_numpy()
+        if n >= go and keys[0] != keys[-1]:
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held, n = [batch.slice(cut)], batch.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_in_buckets(radius: int, bucket: int):
+    """A function over batches sorted by key: the forest edges of all buckets, by tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.concatenate([keys, batch.column("key").to_numpy()])
-            fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
-            last = int(np.searchsorted(keys != keys[-1], False)) if keys[0] == keys[-1] else int(np.flatnonzero(keys != keys[-1])[-1]) + 1
-            if last:
-                yield from flush(keys[:last], fps[:last])
-                keys, fps = keys[last:], fps[last:]
-        if len(keys):
-            yield from flush(keys, fps)
+        for table in whole_buckets(batches):
+            names, keys, sizes = np.unique(table.column("key").to_numpy(), return_inverse=True, return_counts=True)
+            fps = table.column("fp").to_numpy().view(np.uint64)
+            big, used = sizes > bucket, len(names)
+            parts = [(keys[~big[keys]], fps[~big[keys]])]
+            for k in np.flatnonzero(big):
+                inner, held = _finer(fps[keys == k], radius, bucket)
+                parts.append((inner + used, held))
+                used += int(inner.max()) + 1
+            a, b = link_forest(np.concatenate([x for _, x in parts]), radius, keys=np.concatenate([k for k, _ in parts]))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return run
 
@@ -146,9 +192,9 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     """(a, b): a forest over the distinct fingerprints in fps that connects just what differences of at most radius bits connect.
 
     Tiles come from buckets: cut into radius + 1 fields, two fingerprints within the radius agree in one field at least, so each
-    goes to radius + 1 buckets and every pair is compared. A bucket with more than `bucket` members and over one in HOT_SHARE of all
-    is hot (there are at most (radius + 1) * HOT_SHARE of them, which are broadcast); its members go on to buckets by a field of
-    their remaining bits. After three such steps 51 of 64 bits agree, so no bucket can hold over 8,192 distinct fingerprints.
+    goes to radius + 1 buckets and every pair is compared there, tile by tile. A bucket with more than `bucket` members and over one in
+    HOT_SHARE of all is hot (there are at most HOT_SHARE of them for each field, which are broadcast); its members go on to buckets by a
+    field of their remaining bits. What is left with more than `bucket` members is dealt out likewise within its task.
     """
     spark = fps.sparkSession
     total = fps.count()
@@ -170,24 +216,28 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     both = done[0]
     for x in done[1:]:
         both = both.unionByName(x)
-    dealt = both.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_pairs_in_buckets(radius), "a long, b long").distinct()
+    dealt = both.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_pairs_in_buckets(radius, bucket), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for each fingerprint in an edge; root is one of its component, the same for all. Large-star and small-star
-    rounds; each round's edges are a table in the shared folder. Only two numbers a round reach the driver."""
+    rounds; each round's edges are a table in the shared folder. Only three numbers a round reach the driver. The centre of a large
+    star is a hot key of the joins, and dealt with as such."""
     state = written(edges.select("a", "b").where("a <> b"), "star")
-    mark = None
+    mark, n = None, state.count()
     while True:
         both = state.select("a", "b").union(state.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        state = written(small.where("a <> b").distinct(), "star")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_groups(both.where("b > a"), least, "a", "n", n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "star")
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_groups(down, least, "a", "n", n).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        old, state = state, written(small.where("a <> b").distinct(), "star")
+        discard(old)
+        discard(down)
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        n = now[0]
         if tuple(now) == mark:
             break
         mark = tuple(now)
@@ -195,20 +245,25 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(state.select("b", "b").distinct())
 
 
+def named(by_fp: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, n, root, component_id) of each fingerprint of by_fp (fp, n, least), given the roots of those that are linked; component_id is
+    the smallest least of a component. A component's members are dealt out as hot keys are if it is large."""
+    linked = written(by_fp.join(roots, "fp"), "linked")
+    groups = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    members = join_groups(linked.select("fp", "root"), groups, "root", "members", linked.count()).select("fp", "root", "component_id")
+    rows = by_fp.join(members, "fp", "left")
+    own = F.col("root").isNull()
+    return rows.select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(own, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """What near_duplicates returns, and root: a fingerprint that is the same for all of a component."""
     prints = written(fingerprints(docs), "fingerprints")
     by_fp = written(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "by-fingerprint")
-    roots = components(links(by_fp.select("fp"), radius))
-    rooted = by_fp.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = written(rooted.where("root <> fp").groupBy("root").agg(F.min("least").alias("other")), "roots")
-    named = (
-        rooted.join(by_fp.select(F.col("fp").alias("root"), F.col("least").alias("own")), "root", "left")
-        .join(least, "root", "left")
-        .select("fp", "n", "root", F.least("own", "other", "least").alias("component_id"))
-    )
+    names = written(named(by_fp, components(links(by_fp.select("fp"), radius))), "components")
     total = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return join_groups(prints, written(named, "components"), "fp", "n", total).select("doc_id", "fp", "component_id", "root")
+    discard(by_fp)
+    return join_groups(prints, names, "fp", "n", total).select("doc_id", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyflow.llm import byte_bpe, decontaminate, licenses, pii, pitman_yor, quality, simhash
+from tallyflow.llm import byte_bpe, decontaminate, licenses, near_copies, pii, pitman_yor, quality, simhash
 from tallyflow.llm.common import written
 
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -303,14 +303,8 @@ def test_pipeline_equals_stage_by_stage_brute_force(spark, tmp_path):
     for i in good:
         by[(texts[i] or "").translate(UPPER)].append(i)
     kept = sorted(max(v) for v in by.values())
-    prints = {i: simhash.fingerprint((texts[i] or "").encode()) for i in kept}
-    least = {i: i for i in kept}
-    while True:
-        new = {i: min(least[j] for j in kept if (prints[i] ^ prints[j]).bit_count() <= 2) for i in kept}
-        if new == least:
-            break
-        least = new
-    kept = [i for i in kept if least[i] == i]
+    least, _ = brute_near_copies([(i, texts[i]) for i in kept])
+    kept = [i for i, c in zip(kept, least, strict=True) if i == c]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     leaks = brute_leaks([(i, texts[i]) for i in kept], items)
     bpe = byte_bpe.load(byte_bpe._path(None))
@@ -361,6 +355,51 @@ def test_pipeline_drops_near_copies_of_similarity_0_8(spark, make):
     assert kept == [i for i, _ in rows if least[i] == i] and len(pairs) > 200 and len(kept) < len(rows) // 2
 
 
+def test_wide_prints_are_majorities():
+    rng = np.random.default_rng(1)
+    h, sizes = rng.integers(0, 1 << 63, 1500, dtype=np.uint64), np.array([3, 0, 700, 1, 796])
+    ends = np.cumsum(sizes)
+    got = near_copies.wide_prints(h, sizes)
+    for row, (a, b) in zip(got, [(x - n, x) for x, n in zip(ends, sizes, strict=True) if n], strict=True):
+        for w in range(near_copies.WORDS):
+            hashed = near_copies.finalise(h[a:b] ^ near_copies._WORD[w])
+            assert int(row[w]) == sum(1 << i for i in range(64) if 2 * sum(int(x) >> i & 1 for x in hashed) > b - a)
+
+
+def test_similar_texts_are_within_the_radius():
+    r = random.Random(6)
+    for n in (6, 9, 30, 200, 1500):
+        for _ in range(40):
+            words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            other = list(words)
+            while len(five_word_shingles(" ".join(words)) & five_word_shingles(" ".join(other))) * 5 >= len(five_word_shingles(" ".join(words)) | five_word_shingles(" ".join(other))) * 4:
+                last, other = other, list(other)
+                other[r.randrange(n)] = f"x{r.randrange(10**6)}"
+            h, sizes = near_copies.shingle_sets(near_copies.pa.array([" ".join(words), " ".join(last)]))
+            a, b = near_copies.wide_prints(h, sizes)
+            assert np.bitwise_count(a ^ b).sum() <= near_copies.RADIUS
+
+
+def test_buckets_in_blocks_link_as_whole_ones_do(spark, make):
+    r = random.Random(8)
+    body = [f"g{i}" for i in range(60)]
+    texts = []
+    for n in range(60):  # a chain of which neighbours alone are similar, and a half that all share
+        words = [*body, *[f"c{n + i}" for i in range(60)]]
+        texts += [" ".join(words), " ".join([*body, *[f"u{r.randrange(10**6)}" for _ in range(60)]])]
+    docs = make(list(enumerate(texts)))
+    found = spark.createDataFrame(near_copies.near_copies(docs).toPandas())
+    by_fp = near_copies._rows(docs).mapInArrow(near_copies._read(5), "doc_id long, fp long, n_shingles long, bands array<long>, p0 long, p1 long, p2 long, p3 long").drop("doc_id")
+    small = {x.fp: x.root for x in simhash.components(near_copies.links(docs, by_fp, block=3)).collect()}
+    least, _ = brute_near_copies(list(enumerate(texts)))
+    rows = found.collect()
+    assert {x.doc_id: x.component_id for x in rows} == dict(enumerate(least))
+    by_root = defaultdict(set)
+    for x in rows:
+        by_root[small.get(x.fp, x.fp)].add(x.component_id)
+    assert all(len(v) == 1 for v in by_root.values()) and len(by_root) == len(set(least))
+
+
 def test_near_dedup_keeps_one_row_of_components_without_ids(spark, make):
     long = " ".join(f"n{i}" for i in range(100))
     rows = [(None, "alone and without any id at all"), (None, long), (None, long.replace("n50 ", "other ")), (None, long + " "), (3, "has an id of its own here"), (None, "has an id of its own  here"), (None, "")]

@@ -115,6 +115,29 @@ def test_links_connect_what_all_pairs_connect(spark, bucket):
     assert all((got[a] == got[b]) == (label[a] == label[b]) for a in range(len(fps)) for b in range(a))
 
 
+def test_tiles_find_all_pairs_and_skip_by_population_count():
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.concatenate([x := rng.integers(0, 1 << 63, 1500, dtype=np.uint64), x[:200] ^ np.uint64(5), x[:200] ^ np.uint64(1 << 40)]))
+    keys = rng.integers(0, 3, len(fps))
+    tiles = simhash.Tiles(keys, fps[:, None], 2, tile=32)
+    found = set()
+    for i, j, near in tiles.pairs():
+        found |= {frozenset((int(tiles.prints[i + a, 0]), int(tiles.prints[j + b, 0]))) for a, b in zip(*np.nonzero(near), strict=True) if tiles.keys[i + a] == tiles.keys[j + b]}
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 2) & (keys[:, None] == keys[None]) & (np.arange(len(fps))[:, None] < np.arange(len(fps))[None])
+    assert found == {frozenset((int(fps[a]), int(fps[b]))) for a, b in zip(*np.nonzero(near), strict=True)} and len(found) > 100
+    assert tiles.skipped > tiles.compared / 2
+
+
+def test_large_buckets_are_cut_finer_without_loss():
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 14, 6000, dtype=np.uint64) << np.uint64(9))
+    keys, held = simhash._finer(fps, 2, 50)
+    assert np.unique(keys, return_counts=True)[1].max() < len(fps) / 2
+    size = lambda a, b: len({*a.tolist(), *b.tolist()})
+    whole, cut = simhash.link_forest(fps), simhash.link_forest(held, keys=keys)
+    assert size(*whole) == size(*cut)
+
+
 def test_forest_has_an_edge_less_than_its_members():
     fps = np.array([1 << i for i in range(64)], np.uint64)
     a, b = simhash.link_forest(fps, tile=16)
