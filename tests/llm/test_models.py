@@ -153,16 +153,63 @@ def test_license_families(make):
     assert licenses.license_scan(make([])).count() == 0
 
 
-def test_license_held_out_accuracy():
-    model, r = licenses.train(), random.Random(8)
+def scanned(texts, model=None):
+    raw = [t.encode() for t in texts]
+    found = licenses.scan_chunk(b"".join(raw), np.r_[0, np.cumsum([len(x) for x in raw])], model or licenses.train())
+    return [sorted({f for _, f, _ in x}) for x in found]
+
+
+def test_unknown_licenses_and_what_is_none():
+    notices = [
+        "This project is covered by the Frobozz Community Source License, version 3.", "Covered by the terms of the Zlib license", "Boost Software License - Version 1.0", "Eclipse Public License - v 2.0",
+        "Licensed under the European Union Public Licence v1.2", "Distributed under the terms of the Artistic License 2.0.",
+    ]
+    assert scanned(notices) == [["unknown"]] * len(notices)
+    plain = ["She is licensed for driving heavy trucks.", "He holds a pilot license and flies to the islands.", "The new version of the song was released under a false name.", "word " * 400, "license " * 50, "The terms of the lease are covered by local law.", ""]
+    assert scanned(plain) == [[]] * len(plain)
+    assert scanned(["GNU Lesser General Public License version 3", "Licensed under MIT or Apache License, Version 2.0"]) == [["LGPL"], ["Apache-2.0", "MIT"]]
+    wrapped = "Redistribution and use in source and binary\nforms, with or without modification, are\npermitted provided that the following conditions\nare met:"
+    assert scanned([f"intro\n\n{wrapped}\n\nAll rights reserved.\n", "Licensed under the Apache\nLicense, Version 2.0"]) == [["BSD", "Proprietary"], ["Apache-2.0"]]
+    text = f"x\n{wrapped}\n\ny\nReleased under the MIT License.\n".encode()
+    assert [x[:2] for x in licenses.scan_chunk(text, np.array([0, len(text)]), licenses.train())[0]] == [(1, "BSD"), (6, "MIT")]
+
+
+def test_license_recall_with_frames_left_out():
+    """Trained without a third of the frames, the notices of these are still named."""
     hits = []
-    for family, texts in licenses.TEMPLATES.items():
-        for text in texts:
-            for _ in range(5):
-                words = [w for w in licenses.word_list(text.encode()) if r.random() > 0.02]
-                hits.append(model.name([r.choice(licenses.NOISE).encode() for _ in range(r.randint(0, 6))] + words)[0] == family)
-    assert sum(hits) > 0.85 * len(hits)
-    assert sum(model.name([r.choice(licenses.NOISE).encode() for _ in range(20)])[0] != "none" for _ in range(300)) == 0
+    for k in range(3):
+        left = tuple(f for i, f in enumerate(licenses.FRAMES) if i % 3 != k)
+        model = licenses.train(left)
+        texts = [(f, frame.format(n)) for i, frame in enumerate(licenses.FRAMES) if i % 3 == k for f, names in licenses.NAMES.items() for n in names]
+        hits += [f in got for (f, _), got in zip(texts, scanned(["Some prose went before.\n" + t + "\nAnd more of it came after." for _, t in texts], model), strict=True)]
+    assert sum(hits) > 0.9 * len(hits)
+
+
+def test_license_families_left_out_are_unknown():
+    families = (*licenses.NAMES,)
+    some, other = families[::3], tuple(f for f in families if f not in families[::3])
+    rng = np.random.default_rng(9)
+    model = licenses._fit(licenses._examples(rng, other, licenses.FRAMES, 2), other)
+    whole = licenses.train()
+    told = [model.logits(licenses._hash(licenses.word_list(frame.format(n))))[-1] for f in some for n in licenses.NAMES[f] for frame in licenses.FRAMES[:3]]
+    assert np.mean(whole.notice(np.array(told)) >= whole.limits[1]) > 0.9
+
+
+def test_planted_license_lines_are_all_named_and_nothing_else(spark):
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = licenses.license_scan(docs).collect()
+    assert {r.doc_id: r.families for r in found} == {i: ",".join(sorted({f for x, f in lines.items() if x in (t or "").split("\n")})) for i, t in texts.items()}
+
+
+def test_licenses_of_repeated_rows_and_null_ids(make):
+    rows = [(None, "Released under the MIT License."), (4, "Released under the MIT License."), (4, "Released under the MIT License."), (None, None)]
+    found = licenses.license_scan(make(rows, ["license", "families", "lines"])).collect()
+    assert sorted((str(r.doc_id), r.families, r.n_notices) for r in found) == [("4", "MIT", 1), ("4", "MIT", 1), ("None", "", 0), ("None", "MIT", 1)]
 
 
 @pytest.fixture(scope="module")
