@@ -84,6 +84,8 @@ PLAIN = 8
 LEAST = 4
 #: Share of text of no family that may be named one, share of plain text that may be called a notice.
 FALSE_FAMILY, FALSE_NOTICE = 0.01, 0.004
+#: The least calibrated probability of a notice of no known family.
+SURE = 0.9
 #: Share of plain text that may be looked at for the templates of known families.
 LOOK = 0.02
 #: Share of a body's word triples that must stand in the text.
@@ -259,7 +261,7 @@ def train(frames: tuple[str, ...] = FRAMES, copies: int = COPIES) -> Classifier:
     family = min(0.9, max(0.3, float(1 / (1 + np.exp(-np.quantile(named, 1 - FALSE_FAMILY))))))
     plain, notices = p.notice(np.array(plain)), p.notice(np.array(notices))
     sure, may = float(np.quantile(plain, 1 - FALSE_NOTICE)), float(max(np.quantile(notices, FALSE_NOTICE), np.quantile(plain, 1 - LOOK)))
-    return Classifier(whole.keys, whole.weights, whole.bias, (family, max(0.5, sure), min(may, sure)), curve)
+    return Classifier(whole.keys, whole.weights, whole.bias, (family, max(SURE, sure), min(may, sure)), curve)
 
 
 @functools.lru_cache(1)
