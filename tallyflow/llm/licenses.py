@@ -68,6 +68,8 @@ NOTHING = (
     "Terms of trade got worse under the {} government.", "This work is about the {} and its source.", "The copyright office moved to {}.", "Licensed trade in {} grew by 3 percent.", "The dog license and the marriage license are issued here.",
     "Repairs are covered by the warranty of the {}.", "The terms of the contract are set by law.", "The costs were covered by the insurance.", "By the terms of the truce both sides withdrew.", "The {} is subject to local rules and terms.", "The floor was covered by the {}.",
     "The album was released under another label.", "The {} was released under guard.", "A later version of the play was sold under the title {}.", "The song was sung under a false flag.",
+    "The terms of the peace were read aloud by the {}.", "The terms of the sale are known to the buyers.", "The works are distributed over four rooms.", "The food is distributed among the {}.", "Tickets are made available to all {}.", "Copies of the letter were sent to the {}.", "The file of the case is available to the judge.",
+    "The commons of the village is a meadow.", "Creative writing is taught in the {} school.", "The work is hard and the pay is low.", "The work of the {} is shown in the hall.", "A copy of the key was made for the {}.",
     "Food was made available under a tent.", "Papers were distributed under the {} of the school.", "The rooms are provided under contract.", "The list is published under the heading of the {}.", "Long-term terms are agreed by the {} and the court.",
 )
 UNKNOWN = "unknown"
@@ -85,7 +87,7 @@ LEAST = 4
 #: Share of text of no family that may be named one, share of plain text that may be called a notice.
 FALSE_FAMILY, FALSE_NOTICE = 0.01, 0.004
 #: The least calibrated probability of a notice of no known family.
-SURE = 0.9
+SURE = 0.75
 #: Share of plain text that may be looked at for the templates of known families.
 LOOK = 0.02
 #: Share of a body's word triples that must stand in the text.
