@@ -174,7 +174,7 @@ def _examples(rng: np.random.Generator, families: tuple[str, ...], frames: tuple
     said: list[tuple[str, frozenset]] = []
     for f in families:
         said += [(frame.format(n), frozenset({f, ""})) for n in NAMES[f] for frame in frames] + [(b, frozenset({f, ""})) for b in BODIES.get(f, ()) for _ in range(copies)]
-    for _ in range(len(families) * 6):
+    for _ in range(len(families) * 20):
         a, b = rng.choice(families, 2, replace=False)
         one, two = rng.choice(NAMES[str(a)]), rng.choice(NAMES[str(b)])
         said.append((frames[rng.integers(0, len(frames))].format(f"{one} or the {two}"), frozenset({str(a), str(b), ""})))
