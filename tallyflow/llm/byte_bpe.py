@@ -6,6 +6,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm.common import text_chunks
 
-#: The ids of pre-tokens of at most so many characters are remembered, for so many of them twice over.
+#: What the heap merged pre-tokens of at most so many characters to is remembered, for so many of them twice over.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 MASK = (1 << 64) - 1
 
@@ -80,6 +81,7 @@ class ByteBPE:
         blank = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{blank}").replace(r"\s", f"[{blank}]").replace(r"\S", f"[^{blank}]")).findall
         #: What was merged of late, and before that: when the first is full, it becomes the second.
+        self.hits = self.merged = 0
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs = [self.ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
@@ -113,21 +115,40 @@ class ByteBPE:
         return out
 
     def piece(self, token: str) -> tuple[int, ...]:
+        """A pre-token's ids: the perfect hash says whether it is in the vocabulary; if not, it is merged, or was of late."""
+        raw = token.encode()
+        at = self.whole.index(raw)
+        if at >= 0:
+            self.hits += 1
+            return (self.ids[at],)
+        if (ids := self.known.get(token)) is not None:
+            return ids
         if (ids := self.older.get(token)) is None:
-            raw = token.encode()
-            at = self.whole.index(raw)
-            ids = (self.ids[at],) if at >= 0 else tuple(self.merge(raw))
+            self.merged += 1
+            ids = tuple(self.merge(raw))
         if len(token) <= REMEMBERED_CHARS:
             if len(self.known) >= REMEMBERED:
                 self.older, self.known = self.known, {}
             self.known[token] = ids
         return ids
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, edges): the texts' ids one after the other; a text's are ids[edges[i] : edges[i + 1]]. Each distinct pre-token is looked up once."""
+        found = [self.find(t) for t in texts]
+        sizes = np.array([len(x) for x in found], np.int64)
+        if not sizes.sum():
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        coded = pa.array(itertools.chain.from_iterable(found), pa.large_string(), size=int(sizes.sum())).dictionary_encode()
+        distinct = [*map(self.piece, coded.dictionary.to_pylist())]
+        n = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        pool, which = np.fromiter(itertools.chain.from_iterable(distinct), np.int32, int(n.sum())), coded.indices.to_numpy()
+        many = n[which]
+        ends = np.cumsum(many)
+        ids = pool[np.repeat((np.cumsum(n) - n)[which] - (ends - many), many) + np.arange(ends[-1])]
+        return ids, np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
+
     def encode(self, text: str) -> list[int]:
-        piece, out = self.piece, []
-        for token in self.find(text):
-            out += self.known.get(token) or piece(token)
-        return out
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -151,10 +172,8 @@ def encode(docs: DataFrame, rank_file: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in text_chunks(batches, "text", 2 << 20):
-            ids = [np.array(bpe.encode(x or ""), np.int32) for x in batch.column("text").to_pylist()]
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+            ids, edges = bpe.encode_all([x or "" for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, ids array<int>")
@@ -183,8 +202,9 @@ def round_trip(docs: DataFrame, rank_file: str | None = None) -> DataFrame:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in text_chunks(batches, "text", 2 << 20):
             n, a, b = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = bpe.encode(text or "")
+            every, edges = bpe.encode_all([x or "" for x in batch.column("text").to_pylist()])
+            for x, y in zip(edges, edges[1:], strict=False):
+                ids = every[x:y].tolist()
                 n.append(len(ids))
                 a.append(sha(" ".join(map(decimal.__getitem__, ids)).encode()))
                 b.append(sha(bpe.decode(ids)))

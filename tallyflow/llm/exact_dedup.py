@@ -64,8 +64,8 @@ def exact_duplicates(docs: DataFrame, digest=sha256, salts: int = SALTS) -> Data
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group, with all its columns: that of the largest doc_id, or any one of the rows that are equal
-    in doc_id and text. Null doc_ids stay only in groups that have no other."""
+    """One row of docs for each group, with all its columns: that of the largest doc_id; of several such rows the one of the largest text
+    (they differ in A-Z alone), or any of those that are equal. Null doc_ids stay only in groups that have no other."""
     _, groups = duplicate_groups(docs)
 
     def keyed(df: DataFrame, name: str) -> DataFrame:

@@ -116,8 +116,8 @@ class _Stream:
         yield from self.end(True)
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc, row, drops): for each document that loses lines, the sorted positions of those lines.
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc, row, n_dropped, keep_bitmap) of each document that loses lines. No text leaves the first pass over the documents.
 
     Lines travel as 128-bit hashes with document and position, range-partitioned by (hash, document): a key that a third of all
     documents hold covers several partitions instead of one. Of each partition at most two keys touch its neighbours; their
@@ -132,7 +132,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     edges = said.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.max("doc").alias("top"), F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
     held = said.where(F.col("kind") == HELD).join(F.broadcast(edges), ["h1", "h2"]).where("doc <> top")
     gone = said.where(F.col("kind") == DROPPED).select("doc", "row", "at").unionByName(held.select("doc", "row", "at"))
-    return gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("at")).alias("drops"))
+    return gone.groupBy("doc", "row").agg(F.collect_set("at").alias("drops")).mapInArrow(_bitmaps, "doc long, row long, n_dropped long, keep_bitmap binary")
 
 
 def _doc():
@@ -140,41 +140,47 @@ def _doc():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
 
-def keep_bitmap(n_lines: int, drops) -> bytes:
-    """Compressed bits, one for each line, set where the line stays."""
-    keep = np.ones(n_lines, bool)
+def keep_bitmap(drops) -> bytes:
+    """Compressed bits, one for each line up to the last that goes and on to whole bytes, set where the line stays."""
+    keep = np.ones(max(drops) // 8 * 8 + 8, bool)
     keep[drops] = False
     return zlib.compress(np.packbits(keep).tobytes())
 
 
-def kept_lines(text: bytes, bitmap: bytes) -> bytes:
-    """The lines that stay, joined by \\n."""
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        drops = batch.column("drops").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(map(len, drops), pa.int64()), pa.array(map(keep_bitmap, drops), pa.binary())], ["doc", "row", "n_dropped", "keep_bitmap"])
+
+
+def kept_lines(text: bytes, bitmap: bytes | None) -> bytes:
+    """The lines that stay, joined by \\n; all without a bitmap."""
+    if bitmap is None:
+        return text
     lines = text.split(b"\n")
-    keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=len(lines))
-    return b"\n".join(x for x, k in zip(lines, keep.tolist(), strict=True) if k)
+    keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8))[: len(lines)].tolist()
+    return b"\n".join([*(x for x, k in zip(lines, keep, strict=False) if k), *lines[len(keep) :]])
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digest: bool = False) -> DataFrame:
-    """A row for each row of docs: doc_id, n_lines, n_dropped, keep_bitmap; with digest also kept_sha256 of the lines that stay.
+    """A row for each row of docs: doc_id, n_lines, n_dropped, keep_bitmap (null if all lines stay; see kept_lines); with digest also
+    kept_sha256 of the lines that stay, for which alone texts and bitmaps are joined.
 
     Null and empty texts are one empty line. Rows that repeat (same doc_id and text) are one document and lose the same lines;
-    rows that share a doc_id alone are one document with lines in both. An empty table gives an empty result.
+    rows that share a doc_id alone are one document with lines in both. Null doc_ids count as one document. An empty table gives an
+    empty result. Texts and lines of any length are read whole.
     """
-    drops = dropped_lines(docs, min_chars, min_docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _doc().alias("doc"), F.xxhash64("text").alias("row"), n_lines.alias("n_lines"), *([text.alias("text")] if digest else []))
+    found = rows.join(keep_bitmaps(docs, min_chars, min_docs), ["doc", "row"], "left").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long"))).drop("doc", "row")
+    if not digest:
+        return found.select("doc_id", "n_lines", "n_dropped", "keep_bitmap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[], [], [], []]
-            for text, gone in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("drops").to_pylist(), strict=True):
-                text = text or b""
-                n = text.count(b"\n") + 1
-                bitmap = keep_bitmap(n, gone or [])
-                kept = kept_lines(text, bitmap) if gone else text
-                for x, v in zip(out, (n, len(gone or ()), bitmap, hashlib.sha256(kept).hexdigest()), strict=True):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.string())], ["doc_id", "n_lines", "n_dropped", "keep_bitmap", "kept_sha256"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _doc().alias("doc"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    found = rows.join(drops, ["doc", "row"], "left").select("doc_id", "text", "drops")
-    done = found.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, keep_bitmap binary, kept_sha256 string")
-    return done if digest else done.drop("kept_sha256")
+        for batch in text_chunks(batches, "text"):
+            texts, bitmaps = batch.column("text").cast(pa.binary()), batch.column("keep_bitmap").to_pylist()
+            kept = [hashlib.sha256(kept_lines(t.as_py(), b)).hexdigest() for t, b in zip(texts, bitmaps, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "n_lines", "n_dropped", "keep_bitmap")], pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "keep_bitmap", "kept_sha256"])
+
+    return found.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, keep_bitmap binary, kept_sha256 string")

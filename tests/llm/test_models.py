@@ -109,7 +109,7 @@ def brute_leaks(docs, items):
         w = words(t)
         for item, i in distinct.items():
             n, m = min(13, len(item)), len(w)
-            spare = 2 if len(item) >= 13 else 0
+            spare = 2 if len(item) >= 13 else 1 if len(item) >= 8 else 0
             if m < n or len(item) < n:
                 continue
             same = (np.array(w, object)[:, None] == np.array(item, object)[None]).astype(int)
@@ -123,12 +123,13 @@ def test_decontamination_equals_brute_force(spark, make, block):
     r = random.Random(9)
     vocab = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([3, 6, 9, 13, 14, 25])))) for i in range(12)]
+    items += [(20 + n, " ".join(r.choice(vocab) for _ in range(n))) for n in range(5, 13)]
     items += [(50, items[5][1]), (51, None), (52, "")]
     docs = []
     for d in range(150):
         w = [r.choice(vocab) for _ in range(r.randint(0, 60))]
         if d % 2:
-            part = r.choice(items[:12])[1].split()
+            part = r.choice(items[:20])[1].split()
             part = part[r.randint(0, 3) :]
             for _ in range(r.randint(0, 4)):
                 if part:
@@ -142,9 +143,20 @@ def test_decontamination_equals_brute_force(spark, make, block):
     assert {x.doc_id: x.item_ids for x in rows} == brute_leaks(docs, items)
     kept = decontaminate.drop_contaminated(make(docs, ["tokens"]), bench)
     assert sorted((x.doc_id for x in kept.collect()), key=str) == sorted((d for d, _ in docs if d not in brute_leaks(docs, items)), key=str)
+    assert {x.item_id for x in decontaminate.unsearched(bench).collect()} == {i for i, t in items if len((t or "").split()) < 5}
     assert decontaminate.contaminated(make(docs), bench.limit(0)).count() == 0 and decontaminate.contaminated(make([]), bench).count() == 0
 
 
+def test_decontamination_of_a_very_long_text_and_a_shared_opening(spark, make):
+    opening = "answer the question below with one of the letters given there and say why it is so"
+    bench = spark.createDataFrame([(i, f"{opening} item{i} " + " ".join(f"q{i}x{j}" for j in range(20))) for i in range(200)], "item_id long, text string")
+    docs = [(1, "plain " * 300_000 + " ".join(f"q7x{j}" for j in range(20)) + " plain" * 5), (2, "a text that " + opening), (3, "nothing of it")]
+    found = {r.doc_id: r.item_ids for r in decontaminate.contaminated(make(docs), bench).collect()}
+    assert found == {1: [7], 2: list(range(200))}
+    table, _ = decontaminate.seeds(bench)
+    assert table.where(F.size("item_ids") > 100).count() > 0  # what they share is one row
+
+
 def test_license_families(make):
     texts = [None, "", "Some prose.\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0.", "x\nThis work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", "She renewed her driving license in May.", "Licensed under the Quux Licence, draft.", "All rights reserved.", "word " * 5000 + "Released under the MIT License. " + "word " * 300]
     rows = licenses.license_scan(make(list(enumerate(texts)), ["license"])).orderBy("doc_id").collect()

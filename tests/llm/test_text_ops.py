@@ -184,6 +184,22 @@ def test_every_character_is_of_the_same_class_as_in_the_library(library):
     assert bpe.encode(text) == library.encode_ordinary(text)
 
 
+def test_whole_pre_tokens_come_from_the_perfect_hash(library):
+    bpe = byte_bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    text = " the of and zqxjzqxj the of zqxjzqxj"
+    ids, edges = bpe.encode_all(["", text, "", text])
+    assert ids.tolist() == library.encode_ordinary(text) * 2 and edges.tolist() == [0, 0, len(ids) // 2, len(ids) // 2, len(ids)]
+    assert (bpe.hits, bpe.merged, len(bpe.known)) == (3, 1, 1)  # nothing of the vocabulary is remembered
+
+
+def test_line_dedup_of_a_very_long_line_and_text(make):
+    line = "x" * 3_000_000
+    rows = [(i, f"{line}\nown {i}\n" + "s\n" * (200_000 if i == 3 else 2)) for i in range(6)]
+    found = {r.doc_id: r for r in line_dedup.line_dedup(make(rows), digest=True).collect()}
+    assert [found[i].n_dropped for i in range(6)] == [1, 1, 1, 1, 1, 0] and found[3].n_lines == 200_003
+    assert found[3].kept_sha256 == hashlib.sha256(b"own 3\n" + b"s\n" * 200_000).hexdigest()
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     keys = [str(i).encode() for i in range(3000)]
     h = byte_bpe.PerfectHash(keys)
@@ -232,5 +248,6 @@ def test_line_dedup_equals_brute_force(spark, make, partitions):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(((x.doc_id, x.n_lines, x.n_dropped, x.kept_sha256) for x in found), key=str) == sorted(brute_lines(rows, 8, 5), key=str)
     for x in found:  # the bitmap alone gives the text that stays
+        assert (x.keep_bitmap is None) == (x.n_dropped == 0)
         of = [t for i, t in rows if i == x.doc_id and len((t or "").split("\n")) == x.n_lines]
         assert x.kept_sha256 in {hashlib.sha256(line_dedup.kept_lines((t or "").encode(), x.keep_bitmap)).hexdigest() for t in of}
