@@ -75,4 +75,5 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     winners = keyed(groups.select("keep_id", F.col("digest").alias("__digest")), "keep_id").select(keys)
     marked = keyed(docs, "doc_id").withColumn("__digest", sha256(ascii_lower(F.coalesce(F.col("text"), F.lit("")))))
     # the join deals rows out by the same keys that repeated rows share, so whole texts are shuffled once here
-    return marked.join(winners, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    one = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("__row")
+    return marked.join(winners, keys, "left_semi").groupBy(keys).agg(one).select("__row.*")

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 import functools
 import math
-import random
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +31,16 @@ GENERATORS = {
     "phone": r"(?<![0-9A-Za-z+.])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])00[1-9][0-9]{0,2}(?:[ -]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "national": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key) ?[:=] ?[\"']?[^\s\"',;]{6,200}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key) ?[:=] ?[\"']?[^\s\"',;]{6,}+",
 }
 #: Characters of context on either side.
 CONTEXT = 40
 #: Code points in a piece of a text, where contexts are looked up; no fewer than CONTEXT.
 PIECE = 1024
-#: Made-up examples the trees are fitted on; every fourth is left out for calibration. Trees, their step, and the precision asked for.
+#: Made-up examples the trees are fitted on. Trees, their step, and the precision asked for.
 EXAMPLES, TREES, STEP, PRECISION = 4096, 30, 0.4, 0.98
+#: Groups of templates that are left out in turn.
+GROUPS = 4
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -117,17 +119,40 @@ BASE_TESTS: dict[str, Callable[[Column], Column]] = {
     "card": lambda v: F.char_length(digits(v)).between(14, 19) & luhn(digits(v)),
     "phone": lambda v: F.char_length(digits(v)).between(10, 15),
 }
-#: A text without this can't hold the kind.
-NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+#: What a text must hold to hold a kind, cheap to see before any pattern is tried: that of the base formats, that of the generators.
+#: digit says whether there is a digit at all, which is looked for once a text.
+BASE_NEEDS: dict[str, Callable[[Column, Column], Column]] = {
+    "email": lambda text, digit: F.contains(text, F.lit("@")),
+    "ip": lambda text, digit: digit & text.rlike(r"[0-9]\.[0-9]"),
+    "card": lambda text, digit: digit & text.rlike("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"),
+    "phone": lambda text, digit: digit & F.contains(text, F.lit("+")),
+}
+NEEDS: dict[str, Callable[[Column, Column], Column]] = {
+    "email": lambda text, digit: F.contains(text, F.lit("@")) | (_any(text, "([{") & text.rlike(r"(?i)[(\[{] ?at ?[)\]}]")),
+    "ip": lambda text, digit: F.contains(text, F.lit(":")) & text.rlike("(?i)[0-9a-f]:[0-9a-f]{1,4}:"),
+    "card": lambda text, digit: digit & text.rlike("[0-9]{4}"),
+    "phone": lambda text, digit: digit & text.rlike("[0-9]{3}"),
+    "iban": lambda text, digit: digit & text.rlike("[A-Z]{2}[0-9]{2}"),
+    "national": lambda text, digit: digit & F.contains(text, F.lit("-")),
+    "secret": lambda text, digit: F.contains(text, F.lit("AKIA")) | _any(text, ":="),
+}
+_SPANS = "array<struct<start:int,stop:int,value:string>>"
+
+
+def _any(text: Column, marks: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in marks])
+
 
+def has_digit(text: Column) -> Column:
+    return text.rlike("[0-9]")
 
-def base_spans(text: Column, kind: str) -> Column:
+
+def base_spans(text: Column, kind: str, digit: Column) -> Column:
     found = F.filter(spans(text, BASE_PATTERNS[kind]), lambda x: BASE_TESTS[kind](x["value"]))
-    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-    return F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(none) if kind in NEEDS else found
+    return F.when(BASE_NEEDS[kind](text, digit), found).otherwise(F.array().cast(_SPANS))
 
 
-def candidates(text: Column) -> Column:
+def candidates(text: Column, digit: Column) -> Column:
     """What the generators propose: an array of (start, stop, value, kind number, before, after)."""
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
@@ -143,7 +168,7 @@ def candidates(text: Column) -> Column:
             cut(parts, x["stop"], F.lit(CONTEXT)).alias("after"),
         )
         some = lambda xs: bound(F.when(F.size(xs) > 0, pieces), lambda parts: F.transform(xs, lambda x: made(x, parts)))
-        return bound(spans(text, pattern), some)
+        return bound(F.when(NEEDS[kind](text, digit), spans(text, pattern)).otherwise(F.array().cast(_SPANS)), some)
 
     return F.concat(*[proposed(k, p) for k, p in GENERATORS.items()])
 
@@ -183,53 +208,54 @@ def _number(n: int, salt: int) -> Column:
     return F.concat((F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(9)) + 1).cast("string"), *[F.pmod(F.xxhash64("id", F.lit(salt + 1 + i)), F.lit(10)).cast("string") for i in range(n - 1)])
 
 
-def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
-    """Made-up sentences (id, text, label): those of label 1 hold personal data in forms that the base formats miss, those of
-    label 0 hold what looks alike."""
+def templates() -> list[tuple[int, Column]]:
+    """(label, sentence): each form of personal data, or of what looks alike, after each of the words that may lead to it."""
     word = lambda s: _pick(["anna", "m.weber", "jlopez", "sales", "p_durand", "info", "kim22", "office"], s)
     host = lambda s: _pick(["mail", "example", "corp-net", "uni", "post9", "acme"], s)
     end = lambda s: _pick(["com", "org", "de", "net", "fr", "es"], s)
-    valid = lambda s: _pick(["4111.1111.1111.1111", "5500 - 0000 - 0000 - 0004", "3782 822463 10005", "4012.8888.8888.1881", "4222222222222", "5105.1051.0510.5100"], s)
-    lead = lambda options, s: _pick([*options, "and the", "then", "of the"], s)
     area = F.concat((F.pmod(F.xxhash64("id", F.lit(91)), F.lit(8)) + 2).cast("string"), _number(2, 92), F.lit(""))
     local = F.concat((F.pmod(F.xxhash64("id", F.lit(95)), F.lit(8)) + 2).cast("string"), _number(2, 96))
     hexa = F.substring(F.sha2(F.col("id").cast("string").cast("binary"), 256), 1, 20)
-    cat = lambda *x: F.concat_ws(" ", *x)
+    join = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    plain = ["", "and the", "then", "of the"]
     good = [
-        cat(lead(["mail me", "write to"], 1), F.concat(word(2), F.lit(" [at] "), host(3), F.lit(" [dot] "), end(4))),
-        cat(lead(["my address", "contact"], 1), F.concat(word(2), F.lit("(at)"), host(3), F.lit("."), end(4))),
-        cat(lead(["call me", "phone", "tel"], 5), F.concat(F.lit("("), area, F.lit(") "), local, F.lit("-"), _number(4, 100))),
-        cat(lead(["mobile", "fax", "reach us"], 5), F.concat(area, F.lit("-"), local, F.lit("-"), _number(4, 100))),
-        cat(lead(["phone", "telefon"], 6), F.concat(F.lit("0049 "), _number(3, 110), F.lit(" "), _number(4, 120), F.lit(" "), _number(3, 130))),
-        cat(lead(["card", "visa", "pay with"], 7), valid(8)),
-        cat(lead(["iban", "bank account"], 9), F.concat(F.lit("DE"), _number(2, 140), F.lit(" "), _number(4, 145), F.lit(" "), _number(4, 150), F.lit(" "), _number(4, 155), F.lit(" "), _number(4, 160), F.lit(" "), _number(2, 165))),
-        cat(lead(["ssn", "social security"], 10), F.concat(F.lit("5"), _number(2, 170), F.lit("-"), _number(2, 175), F.lit("-"), _number(4, 180))),
-        cat(lead(["config", "login"], 11), F.concat(_pick(["password=", "token = \"", "secret: ", "api_key="], 12), hexa)),
-        cat(lead(["key", "using"], 11), F.concat(F.lit("AKIA"), F.upper(F.substring(hexa, 1, 16)))),
-        cat(lead(["host", "server"], 13), F.concat(*[x for i in range(7) for x in (F.substring(hexa, i + 1, 4), F.lit(":"))], F.substring(hexa, 9, 4))),
+        (["mail me", "write to", "my address", "contact"], [join(word(2), " [at] ", host(3), " [dot] ", end(4)), join(word(2), "(at)", host(3), ".", end(4)), join(word(2), " @ ", host(3), ".", end(4))]),
+        (["call me", "phone", "tel", "mobile", "fax", "reach us"], [join("(", area, ") ", local, "-", _number(4, 100)), join(area, "-", local, "-", _number(4, 100)), join(area, ".", local, ".", _number(4, 100))]),
+        (["phone", "telefon", "call"], [join("0049 ", _number(3, 110), " ", _number(4, 120), " ", _number(3, 130)), join("0034 ", _number(3, 110), " ", _number(3, 120), " ", _number(3, 130))]),
+        (["card", "visa", "pay with", "credit card"], [_pick([x], 8) for x in ("4111.1111.1111.1111", "5500 - 0000 - 0000 - 0004", "3782 822463 10005", "4012.8888.8888.1881", "4222222222222", "5105.1051.0510.5100")]),
+        (["iban", "bank account", "pay to"], [join(c, _number(2, 140), *[y for i in range(n) for y in (" ", _number(4, 145 + 5 * i))], *t) for c, n, t in (("DE", 4, (" ", _number(2, 165))), ("ES", 5, ()), ("FR", 5, (" ", _number(3, 175))), ("GB", 4, (" ", _number(2, 165))))]),
+        (["ssn", "social security", "identity"], [join(x, _number(2, 170), "-", _number(2, 175), "-", _number(4, 180)) for x in "1258"]),
+        (["config", "login", "set"], [join(x, hexa) for x in ("password=", "token = \"", "secret: ", "api_key=", "passwd: ", "api-key = ")]),
+        (["key", "using", "config"], [join("AKIA", F.upper(F.substring(hexa, 1, 16)))]),
+        (["host", "server", "from"], [join(*[x for i in range(7) for x in (F.substring(hexa, i + 1, n), F.lit(":"))], F.substring(hexa, 9, n)) for n in (4, 3)]),
     ]
     bad = [
-        cat(F.lit("order no."), F.concat(_number(3, 200), F.lit("-"), _number(3, 205), F.lit("-"), _number(4, 210))),
-        cat(F.lit("part #"), F.concat(_number(4, 215), F.lit("."), _number(4, 220), F.lit("."), _number(4, 225), F.lit("."), _number(4, 230))),
-        cat(F.lit("serial"), _number(13, 235)),
-        cat(F.lit("invoice 9"), F.concat(F.lit("000-00-"), _number(4, 250))),
-        cat(F.lit("look"), F.concat(word(2), F.lit(" @ "), host(3), F.lit(" . "), F.lit("then")), F.lit("went on")),
-        cat(F.lit("a total of"), F.concat(F.lit("1"), _number(2, 255), F.lit(" 1"), _number(2, 260), F.lit(" "), _number(4, 265)), F.lit("items")),
-        cat(F.lit("set"), F.concat(_pick(["password=", "token: ", "secret: "], 12), _pick(["yourpassword", "changeme", "<value>", "${TOKEN}", "none-given", "required"], 14))),
-        cat(F.lit("the"), F.concat(F.lit("token: "), _pick(["ourselves", "gestures", "symbols", "appreciation"], 15))),
-        cat(F.lit("article"), F.concat(F.lit("XX00 "), F.lit("AAAA BBBB CCCC DDDD"))),
-        cat(F.lit("version"), F.concat(F.lit("1111"), F.lit(" 1111 1111 "), F.lit("1111"))),
+        (["order no.", "item", "ref", "invoice"], [join(_number(3, 200), "-", _number(3, 205), "-", _number(4, 210)), join(_number(3, 200), ".", _number(3, 205), ".", _number(4, 210))]),
+        (["part #", "serial", "version", "article"], [join(_number(4, 215), ".", _number(4, 220), ".", _number(4, 225), ".", _number(4, 230)), join("1111 1111 1111 1111"), join("0000.0000.0000.0000")]),
+        (["serial", "isbn", "item", "id"], [_number(13, 235)]),
+        (["invoice 9", "form", "table"], [join("000-00-", _number(4, 250)), join("666-", _number(2, 252), "-0000"), join("9", _number(2, 254), "-00-", _number(4, 250))]),
+        (["a total of", "some", "about"], [join("1", _number(2, 255), " 1", _number(2, 260), " ", _number(4, 265), " items"), join("1", _number(2, 255), " 1", _number(2, 260), " ", _number(4, 265), " rows")]),
+        (["set", "the", "use"], [join(x, y) for x in ("password=", "token: ", "secret: ") for y in ("yourpassword", "changeme", "<value>", "${TOKEN}", "none-given", "required")]),
+        (["the", "a", "of the"], [join(x, y) for x in ("token: ", "secret: ") for y in ("ourselves", "gestures", "symbols", "appreciation")]),
+        (["article", "form"], [join("XX00 AAAA BBBB CCCC DDDD"), join("AB12 VERY LONG WORD LIST")]),
     ]
-    frame = spark.range(n)
-    label = F.pmod(F.xxhash64("id", F.lit(77)), F.lit(2))
-    return frame.select("id", label.cast("int").alias("label"), F.when(label == 1, _choose(good)).otherwise(_choose(bad)).alias("text"))
+    neutral = ["", "and the", "then"]
+    made = [(1, F.concat_ws(" ", F.lit(lead), form)) for leads, forms in good for lead in (*leads, *plain) for form in forms]
+    return made + [(0, F.concat_ws(" ", F.lit(lead), form)) for leads, forms in bad for lead in (*leads, *neutral[: 1 + len(leads) // 4]) for form in forms]
 
 
-def _choose(options: list[Column]) -> Column:
-    pick, out = F.pmod(F.xxhash64("id", F.lit(78)), F.lit(len(options))), options[0]
-    for i, x in enumerate(options[1:], 1):
-        out = F.when(pick == i, x).otherwise(out)
-    return out
+def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
+    """Made-up sentences (id, template, text, label): those of label 1 hold personal data in forms that the base formats miss, those of
+    label 0 hold what looks alike. Half are of either; n is how many."""
+    every = templates()
+    frame = spark.range(n)
+    parts = []
+    for label in (1, 0):
+        own = [(k, text) for k, (y, text) in enumerate(every) if y == label]
+        pick = F.pmod(F.xxhash64("id", F.lit(78)), F.lit(len(own))).cast("int")
+        some = frame.where(F.pmod(F.xxhash64("id", F.lit(77)), F.lit(2)) == label)
+        parts.append(some.select("id", F.element_at(F.array(*[F.lit(k) for k, _ in own]), pick + 1).alias("template"), F.element_at(F.array(*[t for _, t in own]), pick + 1).alias("text"), F.lit(label).alias("label")))
+    return parts[0].unionByName(parts[1])
 
 
 class Trees:
@@ -302,29 +328,35 @@ def _vector(x: Column) -> Column:
 @functools.lru_cache(4)
 def _model(n: int, trees: int, precision: float, session: str, spark: SparkSession) -> tuple[Trees, tuple[float, ...]]:
     made = examples(spark, n)
-    seen = made.select("id", "label", F.explode(candidates(F.col("text"))).alias("x")).select("id", "label", F.col("x.kind").alias("kind"), F.transform(F.array(F.col("x")), _vector)[0].alias("v"))
-    rows = seen.collect()  # at most a few for each of the n examples
-    table: dict[tuple, list[int]] = {}
-    for r in rows:
-        if r["id"] % 4:
-            cell = table.setdefault(tuple(r["v"]), [0, 0])
-            cell[0] += r["label"]
-            cell[1] += 1
-    model = Trees().fit(table, trees)
+    seen = made.select("template", "label", F.explode(candidates(F.col("text"), has_digit(F.col("text")))).alias("x"))
+    rows = seen.select("template", "label", F.col("x.kind").alias("kind"), F.transform(F.array(F.col("x")), _vector)[0].alias("v")).collect()  # at most a few for each of the n examples
+
+    def fitted(keep: Callable[[int], bool]) -> Trees:
+        table: dict[tuple, list[int]] = {}
+        for r in rows:
+            if keep(r["template"]):
+                cell = table.setdefault(tuple(r["v"]), [0, 0])
+                cell[0] += r["label"]
+                cell[1] += 1
+        return Trees().fit(table, trees)
+
+    # each template is judged by trees that saw none of its sentences
+    parts = [fitted(lambda t, g=g: t % GROUPS != g) for g in range(GROUPS)]
     limits = []
     for k in range(len(KINDS)):
-        held = sorted(((model.score(tuple(r["v"])), r["label"]) for r in rows if r["id"] % 4 == 0 and r["kind"] == k), reverse=True)
+        held = sorted(((parts[r["template"] % GROUPS].score(tuple(r["v"])), r["label"]) for r in rows if r["kind"] == k), reverse=True)
         best, good = math.inf, 0
         for i, (s, y) in enumerate(held):
             good += y
             if good >= precision * (i + 1) and (i + 1 == len(held) or held[i + 1][0] < s):
                 best = s - 0.5 if i + 1 == len(held) else (s + held[i + 1][0]) / 2
         limits.append(best)
-    return model, tuple(limits)
+    return fitted(lambda t: True), tuple(limits)
 
 
 def model(spark: SparkSession, n: int = EXAMPLES, trees: int = TREES, precision: float = PRECISION) -> tuple[Trees, tuple[float, ...]]:
-    """The trees, and for each kind the lowest score at which the left-out examples above it are personal data with that precision."""
+    """The trees, and for each kind the lowest score at which examples above it, judged by trees that never saw their template, are personal
+    data with that precision."""
     return _model(n, trees, precision, spark.sparkContext.applicationId, spark)
 
 
@@ -338,13 +370,14 @@ def personal_data(docs: DataFrame) -> DataFrame:
     trees, limits = model(docs.sparkSession)
     kind = "array<struct<start:int,kind:int,stop:int>>"
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({k: base_spans(F.col("text"), k) for k in BASE_KINDS})
+    rows = rows.withColumn("digit", has_digit(F.col("text")))
+    rows = rows.withColumns({k: base_spans(F.col("text"), k, F.col("digit")) for k in BASE_KINDS})
 
     def numbered(name: str) -> Column:
         return F.transform(name, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(name)).alias("kind"), x["stop"].alias("stop")))
 
     base = F.concat(*map(numbered, BASE_KINDS))
-    rows = rows.select("doc_id", "text", F.sort_array(base).cast(kind).alias("base"), candidates(F.col("text")).alias("cands"))
+    rows = rows.select("doc_id", "text", F.sort_array(base).cast(kind).alias("base"), candidates(F.col("text"), F.col("digit")).alias("cands"))
     limit = F.array(*[F.lit(float(x)) for x in limits])
     free = bound(grouped(F.col("base")), lambda g: F.filter("cands", lambda x: ~meets(x, g, lambda y: F.lit(True))))
     rows = rows.withColumn("cands", F.when(F.size("cands") > 0, free).otherwise(F.col("cands")))

@@ -27,7 +27,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     digest = F.sha2(pii.listed(F.col("base")).cast("binary"), 256)
     both = pii.listed(F.sort_array(F.concat("base", "added")))
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.BASE_KINDS], digest.alias("base_sha256"), both.alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.BASE_KINDS], digest.alias("base_sha256"), both.alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,47 @@ def test_trees_tell_left_out_examples_apart(spark):
     assert all(math.isfinite(x) for x in limits) and trees.trees
 
 
+def test_recall_and_precision_of_left_out_templates(spark):
+    """Trees that never saw a template, at the limits that are used, on other sentences of it than those that set the limits."""
+    _, limits = pii.model(spark)
+    text = F.col("text")
+    seen = pii.examples(spark, 9000).where("id >= 4096").select("template", "label", F.explode(pii.candidates(text, pii.has_digit(text))).alias("x"))
+    rows = seen.select("template", "label", F.col("x.kind").alias("kind"), F.transform(F.array(F.col("x")), pii._vector)[0].alias("v")).collect()
+    hit = good = positive = 0
+    for g in range(pii.GROUPS):
+        table = {}
+        for r in rows:
+            if r.template % pii.GROUPS != g:
+                cell = table.setdefault(tuple(r.v), [0, 0])
+                cell[0] += r.label
+                cell[1] += 1
+        trees = pii.Trees().fit(table)
+        for r in rows:
+            if r.template % pii.GROUPS == g:
+                found = trees.score(tuple(r.v)) >= limits[r.kind]
+                positive, hit, good = positive + r.label, hit + found, good + (found and r.label)
+    assert good > 0.95 * hit and good > 0.85 * positive
+
+
+def test_planted_personal_data_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    secret = re.compile(r"AKIA[0-9A-Z]{16}\b|(?:password|token|secret|api_key) ?[:=] ?[\"']?(?=\S*[0-9])(?=\S*[A-Za-z])\S{8,}")
+    told = [(i, bool(secret.search(r.text)), [r.text[x.start : x.stop] for x in r.added]) for i, r in rows.items()]
+    planted = [i for i, is_secret, _ in told if is_secret]
+    assert planted and sum(any(pii.KINDS[x.kind] == "secret" for x in rows[i].added) for i in planted) >= 0.95 * len(planted)
+    for r in rows.values():
+        assert [tuple(x) for x in r.base] == brute_spans(r.text)
+
+
+def test_personal_data_of_odd_tables(make):
+    assert pii.personal_data(make([])).count() == 0
+    rows = pii.personal_data(make([(7, "a@b.org"), (7, "a@b.org"), (None, "a@b.org"), (None, None)])).collect()
+    assert sorted((str(r.doc_id), len(r.base)) for r in rows) == [("7", 1), ("7", 1), ("None", 0), ("None", 1)]
+    long = "token: " + "ab1" * 4000
+    assert [(x.start, x.stop) for x in pii.personal_data(make([(1, f"x {long} y")])).first().added] == [(2, 2 + len(long))]
+
+
 def test_masks_find_every_window_with_two_words_replaced():
     n = decontaminate.WINDOW
     for gone in itertools.combinations(range(n), decontaminate.SUBSTITUTED):
