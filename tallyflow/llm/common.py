@@ -53,6 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
+    jvm.System.gc()  # the driver lets go of the shuffles that led here, and their files are deleted
     return spark.read.schema(df.schema).parquet(path)
 
 
