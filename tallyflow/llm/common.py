@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import string
 import tempfile
 import uuid
@@ -83,7 +84,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return first.unionByName(rest.select(first.columns))
 
 
-def text_chunks(batches: Iterator, text: str, limit: int = 8 << 20) -> Iterator:
+@functools.lru_cache(1)
+def _malloc_trim():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Gives back what a Python worker has freed, so that workers side by side don't each keep their largest moment."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
+def text_chunks(batches: Iterator, text: str, limit: int = 6 << 20) -> Iterator:
     """Cuts Arrow batches into pieces of whole rows whose texts have at most limit bytes, or a single row."""
     import pyarrow.compute as pc
 
@@ -93,7 +112,10 @@ def text_chunks(batches: Iterator, text: str, limit: int = 8 << 20) -> Iterator:
         for i, n in enumerate(sizes):
             if held and held + n > limit:
                 yield batch.slice(start, i - start)
+                trim()
                 start, held = i, 0
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+            if held > limit // 2:
+                trim()

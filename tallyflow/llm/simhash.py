@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.llm.common import HOT_SHARE, discard, join_groups, text_chunks, written
+from tallyflow.llm.common import HOT_SHARE, discard, join_groups, text_chunks, trim, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -141,8 +141,8 @@ def _finer(fps: np.ndarray, radius: int, bucket: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(out)
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch], go: int = GO) -> Iterator[pa.Table]:
-    """Batches sorted by key, put together so that no bucket is cut."""
+def whole_buckets(batches: Iterator[pa.RecordBatch], go: int = GO, size: int = 32 << 20) -> Iterator[pa.Table]:
+    """Batches sorted by key, put together so that no bucket is cut, and no further than to so many rows or bytes."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -151,9 +151,10 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], go: int = GO) -> Iterator[p
         held.append(batch)
         n += batch.num_rows
         keys = batch.column("key").to_numpy()
-        if n >= go and keys[0] != keys[-1]:
-            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+        if (n >= go or sum(b.nbytes for b in held) >= size) and (keys[0] != keys[-1] or (len(held) > 1 and held[-2].column("key")[-1].as_py() != keys[-1])):
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
             yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            trim()
             held, n = [batch.slice(cut)], batch.num_rows - cut
     if n:
         yield pa.Table.from_batches(held)
