@@ -1,4 +1,4 @@
-"""Questions about a file of outputs (ts, c0, c1, ..): python -m tallyflow.cli query|delta|bench FILE ..."""
+"""Questions about a file of outputs (ts, c0, c1, ..): python -m tallyflow.cli query|delta|bench FILE ..., or selftest without a file."""
 
 from __future__ import annotations
 
@@ -20,7 +20,33 @@ def ranges(spark: SparkSession, pairs: list[tuple[int, int]]) -> DataFrame:
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "query_id int, lo bigint, hi bigint")
 
 
+def selftest(spark: SparkSession) -> DataFrame:
+    """(check, passed) of an index whose answers are known."""
+    known = [(1, 1, 4), (2, 1, 4), (3, 1, 2), (4, 3, 3), (5, 3, 0), (6, 2, 1)]
+    outputs = lambda rows: spark.createDataFrame(rows, "ts_ms bigint, c0 bigint, c1 bigint")
+    index = TemporalIndex.build(outputs(known), 2)
+    got = lambda x, lo, hi: tuple(x.how_much(lo, hi).select("c0", "c1").first())
+
+    def refused() -> bool:
+        try:
+            index.expire_before(4).how_much(2, 5)
+        except ValueError:
+            return True
+        return False
+
+    pair = TemporalIndex.build(outputs([(1, 2, 2), (3, 6, 2)]), 2)
+    delta = versioning(pair.answer(ranges(spark, [(1, 2)])), pair.answer(ranges(spark, [(3, 4)])), 2).first()
+    summary = got(index.summarize_before(4, 3), 3, 5)
+    checks = [
+        ("range", got(index, 3, 5) == (7, 5)), ("scan", tuple(index.scan(3, 5).select("c0", "c1").first()) == (7, 5)), ("expiry", got(index.expire_before(4), 4, 6) == (8, 4)), ("expired range", refused()),
+        ("summary", summary[0] == 7 and abs(summary[1] - 19 / 3) < 1e-9), ("versions", tuple(delta)[1:5] == (4, 0, 0.25, -0.25)), ("append", got(TemporalIndex.build(outputs(known[:3]), 2).append(outputs(known[3:])), 3, 5) == (7, 5)),
+    ]
+    return spark.createDataFrame(checks, "check string, passed boolean")
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    if args.command == "selftest":
+        return selftest(spark)
     index = TemporalIndex.build(load(spark, args.file, args.channels), args.channels)
     if args.command == "query":
         return with_shares(index.how_much(args.bounds[0], args.bounds[1]), args.channels)
@@ -37,9 +63,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("command", choices=["query", "delta", "bench"])
-    p.add_argument("file")
-    p.add_argument("bounds", type=int, nargs="+", help="query: from to; delta: from to from to; bench: how many queries")
+    p.add_argument("command", choices=["query", "delta", "bench", "selftest"])
+    p.add_argument("file", nargs="?")
+    p.add_argument("bounds", type=int, nargs="*", help="query: from to; delta: from to from to; bench: how many queries")
     p.add_argument("--channels", type=int, default=2)
     return p
 

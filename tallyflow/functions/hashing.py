@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +13,17 @@ FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 MIX_GAMMA, MIX_A, MIX_B, SALT = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F
 
 
-def _fnv(data: bytes) -> int:
-    h = FNV_OFFSET
-    for b in data:
-        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
-    return h
+def _by_position(flat: np.ndarray, edges: np.ndarray, start: np.ndarray, step) -> np.ndarray:
+    """Folds step over the items of each list, all lists side by side: one pass for each position, over those that reach it."""
+    sizes = np.diff(edges)
+    order = np.argsort(-sizes, kind="stable")
+    h, first, n = start[order], edges[:-1][order], sizes[order]
+    for at in range(int(n[0]) if len(n) else 0):
+        reach = int(np.searchsorted(-n, -at, "left"))
+        h[:reach] = step(h[:reach], flat[first[:reach] + at])
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 def finalise(z: np.ndarray) -> np.ndarray:
@@ -35,29 +41,37 @@ def line_hash(line: np.ndarray, seed: int, salt: int = 0) -> np.ndarray:
         return finalise(z + np.uint64(MIX_GAMMA))
 
 
-@F.pandas_udf(T.LongType())
-def fnv1a64(text: pd.Series) -> pd.Series:
+def _kept(values: np.ndarray, like: pa.Array) -> pa.Array:
+    """Null in, null out."""
+    return pa.array(values, mask=like.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(T.LongType())
+def fnv1a64(text: pa.Array) -> pa.Array:
     """FNV-1a of the text in UTF-8, as a signed long."""
-    return pd.Series(np.array([_fnv(t.encode()) for t in text], np.uint64).view(np.int64))
+    raw = [x or b"" for x in text.cast(pa.binary()).to_pylist()]
+    edges = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
+    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h = _by_position(flat, edges, np.full(len(raw), FNV_OFFSET, np.uint64), lambda h, b: (h ^ b) * np.uint64(FNV_PRIME))
+    return _kept(h.view(np.int64), text)
 
 
-@F.pandas_udf(T.LongType())
-def splitmix64(x: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def splitmix64(x: pa.Array) -> pa.Array:
     """The scrambling, from signed to signed longs."""
-    return pd.Series(finalise(x.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+    return _kept(finalise(x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)).view(np.int64), x)
 
 
-@F.pandas_udf(T.IntegerType())
-def java_hash(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.IntegerType())
+def java_hash(text: pa.Array) -> pa.Array:
     """31 * h + c over UTF-16 units, 32 bits."""
-
-    def one(t: str) -> int:
-        h = 0
-        for unit in np.frombuffer(t.encode("utf-16-le"), np.uint16).tolist():
-            h = (31 * h + unit) & 0xFFFFFFFF
-        return h - (1 << 32) if h >> 31 else h
-
-    return text.map(one).astype("int32")
+    raw = [(x or "").encode("utf-16-le") for x in text.to_pylist()]
+    edges = np.r_[0, np.cumsum([len(x) // 2 for x in raw])].astype(np.int64)
+    flat = np.frombuffer(b"".join(raw), np.uint16).astype(np.uint32)
+    with np.errstate(over="ignore"):
+        h = _by_position(flat, edges, np.zeros(len(raw), np.uint32), lambda h, c: h * np.uint32(31) + c)
+    return _kept(h.view(np.int32), text)
 
 
 def unsigned_order(h: Column) -> Column:

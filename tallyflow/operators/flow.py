@@ -181,7 +181,7 @@ _COMBINES: dict[str, tuple[Callable, Callable]] = {
 }
 _PLAIN: dict[str, Callable] = {
     "count": lambda c: F.count(F.lit(1)), "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg,
-    "distinct": lambda c: F.size(F.collect_set(c)).cast("bigint"),
+    "distinct": F.count_distinct,
     "first": lambda c: F.min_by(c.rpartition("@")[0], c.rpartition("@")[2]), "last": lambda c: F.max_by(c.rpartition("@")[0], c.rpartition("@")[2]),
 }
 

@@ -20,14 +20,25 @@ def _plus(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
+def _after(answers: DataFrame, horizon: int | None) -> DataFrame:
+    """Nulls in place of counters, and undefined, where a range begins before the horizon."""
+    if horizon is None:
+        return answers
+    asked, gone = ("query_id", "lo", "hi"), F.col("lo") < horizon
+    rest = [c for c in answers.columns if c not in (*asked, "is_defined")]
+    return answers.select(*asked, *[F.when(~gone, F.col(c)).alias(c) for c in rest], (F.col("is_defined") & ~gone).alias("is_defined"))
+
+
 @dataclass(frozen=True)
 class TemporalIndex:
-    """rows: bucket, ts, c0.., n, p0.., pn. horizon: the first time that can still be asked for."""
+    """rows: bucket, ts, c0.., n, p0.., pn. horizon: the first time that can still be asked for. ends: the last row of each bucket, where
+    that is kept apart (see save)."""
 
     rows: DataFrame
     channels: int
     bucket: int = DAY
     horizon: int | None = None
+    ends: DataFrame | None = None
 
     @property
     def counts(self) -> list[str]:
@@ -59,9 +70,19 @@ class TemporalIndex:
         return TemporalIndex(rows, channels, bucket)
 
     def save(self, path: str) -> TemporalIndex:
-        """Writes the table in folders by bucket, sorted by time, so that look-ups read a folder's matching row groups."""
-        self.rows.repartition("bucket").sortWithinPartitions("ts").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        return replace(self, rows=self.rows.sparkSession.read.parquet(path).withColumn("bucket", F.col("bucket").cast("bigint")))
+        """Writes the table in folders by bucket, sorted by time, and the last row of each bucket beside it: a look-up reads those, and of the
+        table only the folders that its bounds lie in."""
+        spark = self.rows.sparkSession
+        self.rows.repartition("bucket").sortWithinPartitions("ts").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+        rows = spark.read.parquet(f"{path}/rows").withColumn("bucket", F.col("bucket").cast("bigint"))
+        replace(self, rows=rows, ends=None)._last().write.mode("overwrite").parquet(f"{path}/ends")
+        return replace(self, rows=rows, ends=spark.read.parquet(f"{path}/ends"))
+
+    def _last(self) -> DataFrame:
+        """(bucket, t): the last row of each bucket."""
+        if self.ends is not None:
+            return self.ends
+        return self.rows.groupBy("bucket").agg(F.max_by(F.struct(F.col("ts").alias("at"), *self.sums, *self.counts, "n"), "ts").alias("t"))
 
     # --- one range
 
@@ -90,7 +111,8 @@ class TemporalIndex:
     # --- many ranges
 
     def answer(self, queries: DataFrame, width: int = 1) -> DataFrame:
-        """For each of queries (query_id, lo, hi): c0.., n and is_defined. Ranges with lo > hi are undefined zeros here.
+        """For each of queries (query_id, lo, hi): c0.., n and is_defined. Ranges with lo > hi are undefined zeros here; those that begin
+        before the horizon, of which a part is gone, are undefined nulls (how_much, which has one range, refuses them).
         width: how long the time is that a row stands for, from ts on; of a row that a bound cuts, a share is taken.
 
         Bounds and index rows meet in their time bucket; a bound before its bucket's first row takes the total of the buckets
@@ -104,19 +126,19 @@ class TemporalIndex:
         got = found.groupBy("query_id").agg(*deltas)
         out = queries.select("query_id", "lo", "hi").join(got, "query_id", "left")
         values = [F.coalesce(F.col(p), F.lit(0)).alias("n" if p == "pn" else f"c{p[1:]}") for p in self.sums]
-        return out.select("query_id", "lo", "hi", *values, F.coalesce(F.col("pn") > 0, F.lit(False)).alias("is_defined"))
+        return _after(out.select("query_id", "lo", "hi", *values, F.coalesce(F.col("pn") > 0, F.lit(False)).alias("is_defined")), self.horizon)
 
     def _at(self, bounds: DataFrame, width: int) -> DataFrame:
         """The running sums at each bound's time ts."""
         sums, own = self.sums, [*self.counts, "n"]
-        marks = self.rows.select("bucket", "ts", F.lit(0).alias("kind"), F.struct(F.col("ts").alias("at"), *sums, *own).alias("s"))
+        here = self.rows.join(bounds.select("bucket").distinct(), "bucket", "left_semi")  # of a saved index, only these folders are read
+        marks = here.select("bucket", "ts", F.lit(0).alias("kind"), F.struct(F.col("ts").alias("at"), *sums, *own).alias("s"))
         asked = bounds.select("bucket", "ts", F.lit(1).alias("kind"), F.struct(*[F.col(c) for c in bounds.columns]).alias("b"))
         both = marks.unionByName(asked, allowMissingColumns=True)
         order = Window.partitionBy("bucket").orderBy("ts", "kind")
         seen = F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
         found = both.withColumn("s", seen).where("kind = 1").select("bucket", "b", "s")
-        last = self.rows.groupBy("bucket").agg(F.max_by(F.struct(F.col("ts").alias("at"), *sums, *own), "ts").alias("t"))
-        days = last.select("bucket", "t").unionByName(bounds.select("bucket").distinct(), allowMissingColumns=True)  # a row a bucket
+        days = self._last().select("bucket", "t").unionByName(bounds.select("bucket").distinct(), allowMissingColumns=True)  # a row a bucket
         days = days.groupBy("bucket").agg(F.max("t").alias("t"))
         earlier = F.last("t", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
         base = days.select("bucket", earlier.alias("t"))
@@ -125,6 +147,21 @@ class TemporalIndex:
         value = lambda p, c: F.col(f"s.{p}") - (missing * F.col(f"s.{c}") if width > 1 else F.lit(0))
         return joined.select("b.*", *[F.coalesce(value(p, c), F.lit(0)).alias(p) for p, c in zip(sums, own, strict=True)])
 
+    # --- growing
+
+    def append(self, outputs: DataFrame, ts: str = "ts_ms") -> TemporalIndex:
+        """Outputs that are all later than those there are, added: their running sums go on from the last ones, and no old row is touched.
+        Outputs that are not later are refused."""
+        new = TemporalIndex.build(outputs, self.channels, ts, self.bucket)
+        first, last = new.rows.agg(F.min("ts")).first()[0], self.rows.agg(F.max("ts")).first()[0]
+        if first is None or last is None:
+            return self if first is None else replace(self, rows=self.rows.unionByName(new.rows), ends=None)
+        if first <= last:
+            raise ValueError(f"an output at {first} is not after {last}")
+        end = self.rows.where(F.col("ts") == last).select(*[F.col(p).alias(f"__{p}") for p in self.sums])  # one row
+        grown = new.rows.join(F.broadcast(end)).withColumns({p: F.col(p) + F.col(f"__{p}") for p in self.sums}).select(self.rows.columns)
+        return replace(self, rows=self.rows.unionByName(grown), ends=None)
+
     # --- shrinking
 
     def expire_before(self, horizon: int) -> TemporalIndex:
@@ -132,7 +169,7 @@ class TemporalIndex:
         guard = self.rows.where(F.col("ts") < horizon).agg(F.max("ts").alias("ts"))
         old = self.rows.join(F.broadcast(guard), "ts", "left_semi").withColumns({c: F.lit(0).cast("bigint") for c in (*self.counts, "n")})
         rows = self.rows.where(F.col("ts") >= horizon).unionByName(old)
-        return replace(self, rows=rows, horizon=horizon)
+        return replace(self, rows=rows, horizon=horizon, ends=None)
 
     def records(self) -> DataFrame:
         """How many rows answer for outputs, the guard not counted."""
@@ -178,7 +215,7 @@ class SummarizedIndex:
         old = self.buckets.answer(queries.select("query_id", "lo", F.least("hi", F.lit(self.until - 1)).alias("hi")), self.width)
         both = new.select("query_id", *[F.col(c).cast("double").alias(c) for c in names]).unionByName(old.select("query_id", *[F.col(c).cast("double").alias(c) for c in names]))
         sums = both.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in names])
-        return queries.select("query_id", "lo", "hi").join(sums, "query_id").withColumn("is_defined", F.col("n") > 0)
+        return _after(queries.select("query_id", "lo", "hi").join(sums, "query_id").withColumn("is_defined", F.col("n") > 0), self.exact.horizon)
 
     def how_much(self, lo: int, hi: int) -> DataFrame:
         self.exact._check(lo, hi)

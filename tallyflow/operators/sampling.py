@@ -29,7 +29,7 @@ def sampled_answers(flow, key: Column, probability: float, vector: bool = True)
 
 
 def captured(df: DataFrame, manifest: DataFrame, id_col: str) -> DataFrame:
-    """The first row (least in all its columns) of each id of the manifest."""
+    """The first row of each id of the manifest, first by content (the least in its columns) and not by arrival, which no run repeats."""
     rest = [c for c in df.columns if c != id_col]
     found = df.join(manifest.select(id_col), id_col, "left_semi")
     return found.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("__r")).select(id_col, "__r.*")
@@ -65,9 +65,14 @@ def live_state(df: DataFrame, ts: str, keys: list[str], size: int, slide: int, w
     open_ = df.withColumn("__w", F.explode(window_starts(F.col(ts), size, slide))).groupBy("__w", *keys).agg(F.min(ts).alias("at"))
     changes = open_.select(F.explode(F.array(F.struct(F.col("at"), F.lit(width).alias("d")), F.struct((F.col("__w") + size).alias("at"), F.lit(-width).alias("d")))).alias("x")).select("x.*")
     each = changes.groupBy("at").agg(F.sum("d").alias("d")).withColumn("day", floor_to(F.col("at"), DAY))
-    base = each.groupBy("day").agg(F.sum("d").alias("s")).select("day", F.coalesce(F.sum("s").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # over a row a day
     inner = Window.partitionBy("day").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumn("run", F.sum("d").over(inner)).join(base, "day").select("at", (F.col("run") + F.col("base")).cast("bigint").alias("bytes"))
+    runs = each.withColumn("run", F.sum("d").over(inner))
+    days = runs.groupBy("day").agg(F.sum("d").alias("s"), F.max("run").alias("top")).withColumn("base", F.coalesce(F.sum("s").over(earlier), F.lit(0)))
+    base = days.select("day", "base", F.max(F.col("base") + F.col("top")).over(earlier).alias("before"))
+    now = F.col("run") + F.col("base")
+    held = runs.join(base, "day")
+    return held.select("at", now.cast("bigint").alias("bytes"), F.greatest(F.max(now).over(inner), "before").cast("bigint").alias("peak"))
 
 
 def memory_model(counts: DataFrame, channels: int) -> DataFrame:

@@ -36,7 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", millis("ts").alias("ts_ms"))
+    prop = F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("prop")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", prop, millis("ts").alias("ts_ms"))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity", millis("l_shipdate").alias("ts_ms"))
 
 
-EVENTS = "SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS ts_ms FROM events"
+EVENTS = "SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS prop, epoch_us(ts) // 1000 AS ts_ms FROM events"
 ORDERS = "SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, epoch_us(o_orderdate) // 1000 AS ts_ms FROM orders"
 LINES = "SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_quantity, epoch_us(l_shipdate) // 1000 AS ts_ms FROM lineitem"
 
@@ -213,10 +214,17 @@ def stored_first_values(spark, sf_dir):
     sql_aggregate(f"{EVENTS} WHERE event_type = 'purchase'", "user_id", W1, S1, "avg(value) AS v, count(*) AS n"),
     sql_aggregate(f"{EVENTS} WHERE event_type = 'error'", "user_id", W1, S1, "avg(value) AS v, count(*) AS n"), "user_id", W1, S1, "l.v AS a, r.v AS b, l.n AS c0, r.n AS c1") + ")")
 def taxi_2(spark, sf_dir):
+    return _averages(_taxi_2(spark, sf_dir, "counters").dense(), 4)
+
+
+def _averages(df: DataFrame, digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in df.columns if c.startswith("avg_")})
+
+
+def _taxi_2(spark, sf_dir, scheme: str) -> Flow:
     rows = events(spark, sf_dir)
-    part = lambda kind, c: tag(rows.where(F.col("event_type") == kind), F.lit(c), 2, "counters").select("user_id", "value")
-    flow = dataflows.average_join(part("purchase", 0), part("error", 1), "user_id", "value", W1, S1, ("avg_purchase", "avg_error"))
-    return flow.dense().withColumns({c: F.round(c, 4) for c in ("avg_purchase", "avg_error")})
+    part = lambda kind, c: tag(rows.where(F.col("event_type") == kind), F.lit(c), 2, scheme, F.col("event_id")).select("user_id", "value")
+    return dataflows.average_join(part("purchase", 0), part("error", 1), "user_id", "value", W1, S1, ("avg_purchase", "avg_error"))
 
 
 def _tags(spark, sf_dir) -> DataFrame:
@@ -231,27 +239,34 @@ TAGS = f"SELECT * FROM (SELECT ts_ms, o_orderkey, o_orderstatus, o_totalprice AS
     sql_aggregate(TAGS, "hashtag", 4 * DAY, 2 * DAY, "avg(score) AS v, count(*) AS n"),
     sql_aggregate(f"{TAGS} AND o_orderstatus = 'F'", "hashtag", 4 * DAY, 2 * DAY, "avg(score) AS v, count(*) AS n"), "hashtag", 4 * DAY, 2 * DAY, "l.v AS a, r.v AS b, l.n AS c0, r.n AS c1") + ")")
 def twitter_1(spark, sf_dir):
+    return _averages(_twitter_1(spark, sf_dir, "counters").dense(), 6)
+
+
+def _twitter_1(spark, sf_dir, scheme: str) -> Flow:
     rows = _tags(spark, sf_dir)
-    part = lambda df, c: tag(df, F.lit(c), 2, "counters").select("hashtag", "score")
-    flow = dataflows.average_join(part(rows, 0), part(rows.where("o_orderstatus = 'F'"), 1), "hashtag", "score", 4 * DAY, 2 * DAY, ("avg_all", "avg_verified"))
-    return flow.dense().withColumns({c: F.round(c, 6) for c in ("avg_all", "avg_verified")})
+    part = lambda df, c: tag(df, F.lit(c), 2, scheme, F.col("o_orderkey")).select("hashtag", "score")
+    return dataflows.average_join(part(rows, 0), part(rows.where("o_orderstatus = 'F'"), 1), "hashtag", "score", 4 * DAY, 2 * DAY, ("avg_all", "avg_verified"))
 
 
 @query("SELECT hashtag, ts_ms, round(v, 6) AS avg_score, c0, c1 FROM (" + sql_aggregate(TAGS, "hashtag", 6 * DAY, DAY, "avg(score) AS v, count(*) FILTER (WHERE o_orderstatus = 'F') AS c0, count(*) FILTER (WHERE o_orderstatus <> 'F') AS c1") + ")")
 def twitter_2(spark, sf_dir):
-    flow = tag(_tags(spark, sf_dir), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1), 2, "counters").select("hashtag", "score")
-    return flow.aggregate(["hashtag"], {"avg_score": ("avg", "score")}, 6 * DAY, DAY).dense().withColumn("avg_score", F.round("avg_score", 6))
+    return _averages(_twitter_2(spark, sf_dir, "counters").dense(), 6)
+
+
+def _twitter_2(spark, sf_dir, scheme: str) -> Flow:
+    flow = tag(_tags(spark, sf_dir), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1), 2, scheme, F.col("o_orderkey")).select("hashtag", "score")
+    return flow.aggregate(["hashtag"], {"avg_score": ("avg", "score")}, 6 * DAY, DAY)
 
 
 W2 = 12 * HOUR
 _PERSONS, _AUCTIONS = (f"SELECT user_id AS person_id, event_id, ts_ms FROM ({EVENTS}) WHERE event_type = '{k}'" for k in ("signup", "purchase"))
 
 
-def _nexmark(spark, sf_dir, persons: Column | None = None, auctions: Column | None = None) -> tuple[Flow, Flow]:
+def _nexmark(spark, sf_dir, persons: Column | None = None, auctions: Column | None = None, scheme: str = "counters") -> tuple[Flow, Flow]:
     rows = events(spark, sf_dir).withColumnRenamed("user_id", "person_id")
     a, b = rows.where("event_type = 'signup'"), rows.where("event_type = 'purchase'")
     a, b = a if persons is None else a.where(persons), b if auctions is None else b.where(auctions)
-    return tag(a, F.lit(0), 2, "counters"), tag(b.withColumnRenamed("event_id", "auction_id"), F.lit(1), 2, "counters")
+    return tag(a, F.lit(0), 2, scheme, F.col("event_id")), tag(b.withColumnRenamed("event_id", "auction_id"), F.lit(1), 2, scheme, F.col("auction_id"))
 
 
 _NEW = sql_join(_PERSONS, _AUCTIONS, "person_id", W2, W2, "1 AS c0, 1 AS c1", "r.ts_ms >= l.ts_ms")
@@ -262,10 +277,35 @@ def nexmark_1(spark, sf_dir):
     return dataflows.new_users(*_nexmark(spark, sf_dir)).dense()
 
 
-@query(sql_join(f"{_PERSONS} AND user_id % 3 = 0", f"{_AUCTIONS} AND event_id % 5 < 3", "person_id", W2, W2, "l.event_id, r.event_id AS auction_id, CAST(1 AS BIGINT) AS c0, CAST(1 AS BIGINT) AS c1"))
+@query(sql_join(f"{_PERSONS} AND prop >= 40", f"{_AUCTIONS} AND value < 60", "person_id", W2, W2, "l.event_id, r.event_id AS auction_id, CAST(1 AS BIGINT) AS c0, CAST(1 AS BIGINT) AS c1"))
 def nexmark_2(spark, sf_dir):
-    flows = _nexmark(spark, sf_dir, F.col("person_id") % 3 == 0, F.col("event_id") % 5 < 3)
-    return dataflows.local_items(*flows, ["event_id"]).dense()
+    """A field of props stands in for the person's state, the value for the auction's category."""
+    return _nexmark_2(spark, sf_dir, "counters").dense()
+
+
+def _nexmark_2(spark, sf_dir, scheme: str) -> Flow:
+    return dataflows.local_items(*_nexmark(spark, sf_dir, F.col("prop") >= 40, F.col("value") < 60, scheme), ["event_id"])
+
+
+def _in_scheme(flow: Callable[..., Flow], scheme: str, digits: int):
+    def run(spark, sf_dir):
+        found = flow(spark, sf_dir, scheme)
+        if scheme == "graph":
+            return _averages(found.df.withColumn("leaves", algebra.leaf_count(F.col("src"))).drop("src"), digits)
+        return _averages(found.dense(), digits)
+
+    return run
+
+
+# the five dataflows in the other schemes: without annotation, with sparse counters, polynomials, and lists of sources
+for _name, _flow, _digits in (
+    ("taxi_2", _taxi_2, 4), ("twitter_1", _twitter_1, 6), ("twitter_2", _twitter_2, 6),
+    ("nexmark_1", lambda spark, sf_dir, scheme: dataflows.new_users(*_nexmark(spark, sf_dir, scheme=scheme)), 6), ("nexmark_2", _nexmark_2, 6),
+):
+    query(f"SELECT * EXCLUDE (c0, c1) FROM ({SQL[_name]})", f"{_name}_unannotated")(_in_scheme(_flow, "none", _digits))
+    query(SQL[_name], f"{_name}_sparse")(_in_scheme(_flow, "sparse", _digits))
+    query(SQL[_name], f"{_name}_polynomial")(_in_scheme(_flow, "poly", _digits))
+    query(f"SELECT * EXCLUDE (c0, c1), c0 + c1 AS leaves FROM ({SQL[_name]})", f"{_name}_graph_leaves")(_in_scheme(_flow, "graph", _digits))
 
 
 # --- linear road, smart grid, vehicles
@@ -371,7 +411,7 @@ def _scale(m: int, scheme: str):
     return run
 
 
-for _m, _scheme in ((2, "counters"), (8, "counters"), (64, "counters"), (8, "sparse"), (64, "sparse"), (8, "prefix"), (64, "prefix"), (8, "poly")):
+for _m, _scheme in ((2, "counters"), (8, "counters"), (64, "counters"), (8, "sparse"), (64, "sparse"), (8, "prefix"), (64, "prefix"), (8, "poly"), (512, "sparse")):
     query(_scale_sql(_m), f"channels_{_m}_{_scheme}")(_scale(_m, _scheme))
 
 
@@ -392,10 +432,54 @@ def _nested_sql(m: int) -> str:
     return sql_join(half("< 4"), half(">= 4"), "key", DAY, DAY, "l.n + r.n AS n, l.total + r.total AS total, " + ", ".join(f"l.c{i} + r.c{i} AS c{i}" for i in range(m)))
 
 
-@query(_nested_sql(8).replace("CAST(value AS BIGINT)", "CAST(floor(value) AS BIGINT)"))
+def _nested_rows(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).select("ts_ms", F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("key"), F.floor("value").cast("bigint").alias("value"))
+
+
+_NESTED = {m: _nested_sql(m).replace("CAST(value AS BIGINT)", "CAST(floor(value) AS BIGINT)") for m in (8, 64, 512)}
+
+
+@query(_NESTED[8])
 def nested_paths(spark, sf_dir):
-    rows = events(spark, sf_dir).select("ts_ms", F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("key"), F.floor("value").cast("bigint").alias("value"))
-    return dataflows.nested(rows, 8, "counters", DAY).dense()
+    return dataflows.nested(_nested_rows(spark, sf_dir), 8, "counters", DAY).dense()
+
+
+@query(f"SELECT key, ts_ms, n, total FROM ({_NESTED[8]})")
+def nested_paths_unannotated(spark, sf_dir):
+    return dataflows.nested(_nested_rows(spark, sf_dir), 8, "none", DAY).df
+
+
+def _nested_text(m: int, scheme: str):
+    def run(spark, sf_dir):
+        flow = dataflows.nested(_nested_rows(spark, sf_dir), m, scheme, DAY)
+        text = F.array_join(F.transform(flow.counters(), lambda x: x.cast("string")), ";")
+        return flow.df.select("key", "ts_ms", "n", "total", text.alias("counters"))
+
+    return run
+
+
+for _m, _scheme in ((64, "counters"), (512, "sparse")):
+    query(f"SELECT key, ts_ms, n, total, concat_ws(';', {', '.join(f'c{i}' for i in range(_m))}) AS counters FROM ({_NESTED[_m]})", f"nested_paths_{_m}")(_nested_text(_m, _scheme))
+
+
+def _real_sql(m: int) -> str:
+    per = ", ".join(f"count(*) FILTER (WHERE event_id % {m} = {i})" for i in range(m))
+    return f"SELECT user_id AS key, w + {DAY - 1} AS ts_ms, count(*) AS n, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS total, array_to_string([{per}], ';') AS counters FROM ({sql_windows(EVENTS, DAY, DAY)}) x GROUP BY user_id, w"
+
+
+def _real(m: int, scheme: str):
+    """The real-scale view of a table: time, key, channel, and a value in hundredths, counted and summed for each key and day."""
+
+    def run(spark, sf_dir):
+        rows = events(spark, sf_dir).select("ts_ms", F.col("user_id").alias("key"), F.pmod("event_id", F.lit(m)).cast("int").alias("channel"), F.floor(F.col("value") * 100).cast("bigint").alias("value"), F.col("event_id").alias("id"))
+        flow = dataflows.count_sum(rows, m, scheme, DAY, F.col("id"))
+        return flow.df.select("key", "ts_ms", "n", "total", F.array_join(F.transform(flow.counters(), lambda x: x.cast("string")), ";").alias("counters"))
+
+    return run
+
+
+for _m, _scheme in ((8, "counters"), (64, "sparse")):
+    query(_real_sql(_m), f"real_scale_{_m}")(_real(_m, _scheme))
 
 
 # --- temporal index over orders: one output an order, in the channel of its status
@@ -451,6 +535,12 @@ def index_expired(spark, sf_dir):
     return index.answer(asked(spark).where(F.col("lo") >= _HORIZON))
 
 
+@query(f"SELECT query_id, lo, hi, " + ", ".join(f"CASE WHEN lo >= {_HORIZON} THEN {c} END AS {c}" for c in ("c0", "c1", "c2", "n")) + f", is_defined AND lo >= {_HORIZON} AS is_defined FROM ({_answer_sql()})")
+def index_across_horizon(spark, sf_dir):
+    """Ranges before, across and after the horizon: of those that begin before it, a part is gone."""
+    return TemporalIndex.build(outputs(spark, sf_dir), 3).expire_before(_HORIZON).answer(asked(spark))
+
+
 _WIDTH = 30 * DAY
 _SUMMARIZED = f"""
     WITH o AS ({_OUT}), f AS (SELECT min(ts_ms) AS first FROM o), u AS (SELECT first, first + ({_HORIZON} - first) // {_WIDTH} * {_WIDTH} AS until FROM f),
@@ -477,7 +567,11 @@ def index_count_in(spark, sf_dir):
     return TemporalIndex.build(outputs(spark, sf_dir), 3).count_in(_FIRST, _FIRST + 100 * DAY)
 
 
-@query("SELECT CAST(300 AS BIGINT) AS queries, CAST(0 AS BIGINT) AS mismatches")
+_INSIDE = f"SELECT query_id, greatest(lo, {_HORIZON}) AS lo, greatest(hi, {_HORIZON}) AS hi FROM ({_ASKED})"
+_NEW_ONLY = f"SELECT * FROM ({_OUT}) WHERE ts_ms >= {_HORIZON}"
+
+
+@query(f"SELECT count(*) AS queries, count(*) FILTER (WHERE a.n <> b.n OR a.c0 <> b.c0 OR a.c1 <> b.c1 OR a.c2 <> b.c2) AS mismatches FROM ({_answer_sql(asked=_INSIDE)}) a JOIN ({_answer_sql(_NEW_ONLY, _INSIDE)}) b USING (query_id)")
 def index_expiry_check(spark, sf_dir):
     """Ranges after the horizon, asked of the whole and of the expired index."""
     index = TemporalIndex.build(outputs(spark, sf_dir), 3)
@@ -485,10 +579,14 @@ def index_expiry_check(spark, sf_dir):
     return mismatches(index.answer(inside), index.expire_before(_HORIZON).answer(inside), 3)
 
 
-@query()
+_ERRORS = " UNION ALL ".join(f"SELECT abs(a.c{i} - b.c{i}) / greatest(1, b.c{i}) AS e FROM a JOIN b USING (query_id)" for i in range(3))
+
+
+@query(f"WITH a AS ({_SUMMARIZED.replace(', 4) AS', ', 12) AS')}), b AS ({_answer_sql()}) SELECT round(avg(e), 6) AS mean_error, round(max(e), 6) AS max_error FROM ({_ERRORS})")
 def index_summary_error(spark, sf_dir):
     index = TemporalIndex.build(outputs(spark, sf_dir), 3)
-    return relative_errors(index.summarize_before(_HORIZON, _WIDTH).answer(asked(spark)), index.answer(asked(spark)), 3)
+    found = relative_errors(index.summarize_before(_HORIZON, _WIDTH).answer(asked(spark)), index.answer(asked(spark)), 3)
+    return found.select(*[F.round(c, 6).alias(c) for c in ("mean_error", "max_error")])
 
 
 @query()
@@ -501,7 +599,10 @@ def index_query_lengths(spark, sf_dir):
 _MARK = _FIRST + 1500 * DAY
 
 
-@query("SELECT CAST(300 AS BIGINT) AS queries, CAST(0 AS BIGINT) AS above")
+_EARLY = f"SELECT * FROM ({_OUT}) WHERE o_orderkey % 3 <> 0"
+
+
+@query(f"SELECT count(*) AS queries, count(*) FILTER (WHERE a.c0 > b.c0 OR a.c1 > b.c1 OR a.c2 > b.c2) AS above FROM ({_answer_sql(_EARLY)}) a JOIN ({_answer_sql()}) b USING (query_id)")
 def tiers_provisional_below_final(spark, sf_dir):
     """Provisional answers, asked before the rest of the outputs came, are never above the final ones."""
     rows = outputs(spark, sf_dir)
@@ -528,6 +629,18 @@ def sharded(spark, sf_dir):
 
 # --- sources, sampling, state
 
+_TWO64, _TWO63 = (f"CAST({1 << n} AS HUGEINT)" for n in (64, 63))
+
+
+def sql_fnv(text: str) -> str:
+    """FNV-1a of an ASCII text, as an unsigned number."""
+    items = f"list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS HUGEINT)))"
+    return f"list_reduce({items}, lambda h, b: xor(h, b) * CAST(1099511628211 AS HUGEINT) % {_TWO64})"
+
+
+def sql_coin(text: str, probability: float) -> str:
+    return f"{sql_fnv(text)} // 2048 < {int(probability * (1 << 53))}"
+
 
 @query("""SELECT p_partkey, CASE WHEN lon >= -74.02 AND lon < -73.92 AND lat >= 40.70 AND lat < 40.88 THEN 0 WHEN lon >= -73.92 AND lat < 40.80 THEN 1 ELSE -1 END AS borough
           FROM (SELECT p_partkey, CAST(-74.05 AS DOUBLE) + (p_partkey % 1000 % 40 + 0.5) * (CAST(-73.75 AS DOUBLE) + CAST(74.05 AS DOUBLE)) / 40 AS lon,
@@ -558,12 +671,12 @@ def sample_bottom_k(spark, sf_dir):
     return sampling.bottom_k(events(spark, sf_dir), "event_id", 100, 42)
 
 
-@query()
+@query(f"SELECT event_id, user_id FROM ({EVENTS}) WHERE {sql_coin('CAST(user_id AS VARCHAR)', 0.2)}")
 def sample_bernoulli(spark, sf_dir):
     return sampling.bernoulli(events(spark, sf_dir), F.col("user_id"), 0.2).select("event_id", "user_id")
 
 
-@query()
+@query(f"SELECT * FROM ({TAXI_1}) WHERE {sql_coin("user_id || ':' || ts_ms", 0.3)}")
 def sampled_provenance(spark, sf_dir):
     return sampling.sampled_answers(taxi_1_flow(spark, sf_dir, "counters"), F.concat_ws(":", "user_id", "ts_ms"), 0.3)
 
@@ -581,14 +694,18 @@ def output_digests(spark, sf_dir):
     return sampling.digests(taxi_1(spark, sf_dir), "ts_ms", ["user_id", "ts_ms", "solo_count", "crowded_count"])
 
 
-@query()
+_COLUMNS = "solo_count, crowded_count, c0, c1, c2, c3"
+
+
+@query(f"""SELECT 'taxi_1' AS operator, ts_ms AS window_end, user_id AS key, row_number() OVER (PARTITION BY ts_ms, user_id ORDER BY {_COLUMNS}) - 1 AS ordinal,
+           CAST(CASE WHEN h >= {_TWO63} THEN h - {_TWO64} ELSE h END AS BIGINT) AS row_hash FROM (SELECT *, {sql_fnv(f"concat_ws(',', {_COLUMNS})")} AS h FROM ({TAXI_1}))""")
 def output_log(spark, sf_dir):
     return sampling.output_ids(taxi_1(spark, sf_dir), "taxi_1", "ts_ms", "user_id", ["solo_count", "crowded_count", "c0", "c1", "c2", "c3"])
 
 
 @query(f"""WITH x AS (SELECT user_id, w, min(ts_ms) AS a FROM ({sql_windows(f"{EVENTS} WHERE event_type = 'click'", W1, S1)}) GROUP BY user_id, w),
            d AS (SELECT a AS t, 32 AS d FROM x UNION ALL SELECT w + {W1}, -32 FROM x), s AS (SELECT t, sum(d) AS d FROM d GROUP BY t)
-           SELECT t AS at, CAST(sum(d) OVER (ORDER BY t) AS BIGINT) AS bytes FROM s""")
+           SELECT t AS at, bytes, max(bytes) OVER (ORDER BY t) AS peak FROM (SELECT t, CAST(sum(d) OVER (ORDER BY t) AS BIGINT) AS bytes FROM s)""")
 def live_state(spark, sf_dir):
     return sampling.live_state(events(spark, sf_dir).where("event_type = 'click'"), "ts_ms", ["user_id"], W1, S1, 32)
 
@@ -608,6 +725,9 @@ def memory_model(spark, sf_dir):
 
 # --- streams
 
+#: Micro-batches that the events are replayed in.
+REPLAYED = 6
+
 
 def _late_sql() -> str:
     delayed = f"SELECT *, ts_ms + event_id * 7919 % {8 * HOUR} AS arrival FROM ({EVENTS})"
@@ -629,8 +749,9 @@ def stream_late_records(spark, sf_dir):
 
 @query(TAXI_1)
 def stream_taxi_1(spark, sf_dir):
-    """The flagship as a stream, replayed out of order within the watermark's delay: equal to the batch run."""
-    rows = _batches(spark, sf_dir, 1_000_000 if events(spark, sf_dir).count() > 200_000 else 3_000).drop("arrival", "value")
+    """The flagship as a stream, replayed out of order within the watermark's delay, in REPLAYED batches whatever the size: equal to the
+    batch run."""
+    rows = _batches(spark, sf_dir, -(-max(1, events(spark, sf_dir).count()) // REPLAYED)).drop("arrival", "value", "prop")
     far = 4_102_444_800_000
     last = lambda i: spark.range(4).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), F.when(F.col("id") % 2 == 0, "click").otherwise("view").alias("event_type"), (F.lit(far + i * 10 * DAY)).cast("bigint").alias("ts_ms"))
     stream = jobs.replayed(spark, rows, last, "9 hours")

@@ -14,8 +14,12 @@ from tallyflow.functions.time import floor_to
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one of spark.checkpoint.dir, or in a local one where that is unset (tests, one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A new folder in the shared one of spark.checkpoint.dir, or in a local one where that is unset and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -80,6 +80,66 @@ def test_expiry(spark):
         index.how_much(2, 5)
 
 
+def test_answers_after_expiry_are_undefined_before_the_horizon(spark):
+    whole = TemporalIndex.build(outputs(spark, GOLDEN), 2)
+    ask = spark.createDataFrame([(0, 2, 5), (1, 4, 6), (2, 1, 3), (3, 5, 5)], "query_id int, lo bigint, hi bigint")
+    for index in (whole.expire_before(4), whole.expire_before(4).summarize_before(5, 1)):
+        rows = {r.query_id: (r.c0, r.c1, r.n, r.is_defined) for r in index.answer(ask).collect()}
+        assert rows == {0: (None, None, None, False), 1: (8, 4, 3, True), 2: (None, None, None, False), 3: (3, 0, 1, True)}
+    deltas = versioning(whole.expire_before(4).answer(ask), whole.answer(ask), 2).orderBy("query_id").collect()
+    assert [r.is_defined for r in deltas] == [False, True, False, True] and deltas[0].delta0 is None
+
+
+def test_look_ups_in_a_saved_index_read_the_folders_of_their_bounds(spark, tmp_path):
+    rows = [(day * 10 + k, 1, k) for day in range(50) for k in range(5)]
+    index = TemporalIndex.build(outputs(spark, rows), 2, bucket=10).save(str(tmp_path / "i"))
+    ask = spark.createDataFrame([(0, 100, 304)], "query_id int, lo bigint, hi bigint")
+    found = index.answer(ask)
+    assert one(found, "c0", "c1", "n") == (105, 210, 105)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    before = sum(1 for _ in (tmp_path / "i" / "rows").glob("bucket=*"))
+    assert before == 50
+
+
+def test_append_goes_on_from_the_last_sums(spark):
+    index = TemporalIndex.build(outputs(spark, GOLDEN[:3]), 2, bucket=2)
+    grown = index.append(outputs(spark, GOLDEN[3:5])).append(outputs(spark, GOLDEN[5:])).append(outputs(spark, []))
+    whole = TemporalIndex.build(outputs(spark, GOLDEN), 2, bucket=2)
+    assert sorted(map(tuple, grown.rows.collect())) == sorted(map(tuple, whole.rows.collect()))
+    with pytest.raises(ValueError):
+        grown.append(outputs(spark, [(6, 1, 1)]))
+    assert TemporalIndex.build(outputs(spark, []), 2).append(outputs(spark, GOLDEN)).how_much(3, 5).first().c0 == 7
+
+
+def test_selftest_of_the_command_line(spark):
+    rows = cli.selftest(spark).collect()
+    assert len(rows) == 7 and all(r.passed for r in rows)
+
+
+def test_hashes_keep_nulls_and_equal_plain_loops(spark):
+    texts = [None, "", "a", "é🙂 mixed", "x" * 300, "user:17"]
+
+    def fnv(t):
+        h = 0xCBF29CE484222325
+        for b in t.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h - 2**64 if h >> 63 else h
+
+    def java(t):
+        h = 0
+        raw = t.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = (31 * h + raw[i] + 256 * raw[i + 1]) % 2**32
+        return h - 2**32 if h >> 31 else h
+
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    rows = frame.select("i", "t", hashing.fnv1a64("t").alias("f"), hashing.java_hash("t").alias("j")).orderBy("i").collect()
+    assert [(r.f, r.j) for r in rows] == [(None, None) if t is None else (fnv(t), java(t)) for t in texts]
+    longs = spark.createDataFrame([(None,), (2**62 + 1,), (-5,)], "x long").coalesce(1).select("x", hashing.splitmix64("x").alias("h")).collect()
+    assert longs[0].h is None and longs[1].h == value(spark, hashing.splitmix64(F.lit(2**62 + 1)))
+
+
 def test_versioning_and_shares(spark):
     index = TemporalIndex.build(outputs(spark, [(1, 2, 2), (3, 6, 2), (9, 0, 0)]), 2)
     ask = lambda *x: spark.createDataFrame([(i, *y) for i, y in enumerate(x)], "query_id int, lo bigint, hi bigint")
