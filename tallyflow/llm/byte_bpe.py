@@ -22,6 +22,8 @@ from tallyflow.llm.common import text_chunks
 #: What the heap merged pre-tokens of at most so many characters to is remembered, for so many of them twice over.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 MASK = (1 << 64) - 1
+#: UTF-8 bytes of texts whose distinct pre-tokens are looked up at once.
+CHUNK = 8 << 20
 
 
 class PerfectHash:
@@ -171,7 +173,7 @@ def encode(docs: DataFrame, rank_file: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in text_chunks(batches, "text", 2 << 20):
+        for batch in text_chunks(batches, "text", CHUNK):
             ids, edges = bpe.encode_all([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
@@ -200,7 +202,7 @@ def round_trip(docs: DataFrame, rank_file: str | None = None) -> DataFrame:
         bpe = load(path)
         decimal = {i: str(i) for i in bpe.bytes}
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in text_chunks(batches, "text", 2 << 20):
+        for batch in text_chunks(batches, "text", CHUNK):
             n, a, b = [], [], []
             every, edges = bpe.encode_all([x or "" for x in batch.column("text").to_pylist()])
             for x, y in zip(edges, edges[1:], strict=False):
