@@ -22,8 +22,8 @@ from tallyflow.llm.common import text_chunks
 #: What the heap merged pre-tokens of at most so many characters to is remembered, for so many of them twice over.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 MASK = (1 << 64) - 1
-#: UTF-8 bytes of texts whose distinct pre-tokens are looked up at once.
-CHUNK = 8 << 20
+#: UTF-8 bytes of texts whose distinct pre-tokens are looked up at once: with the ids as a result, and with digests alone, which are small.
+CHUNK, DIGEST_CHUNK = 2 << 20, 8 << 20
 
 
 class PerfectHash:
@@ -202,7 +202,7 @@ def round_trip(docs: DataFrame, rank_file: str | None = None) -> DataFrame:
         bpe = load(path)
         decimal = {i: str(i) for i in bpe.bytes}
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in text_chunks(batches, "text", CHUNK):
+        for batch in text_chunks(batches, "text", DIGEST_CHUNK):
             n, a, b = [], [], []
             every, edges = bpe.encode_all([x or "" for x in batch.column("text").to_pylist()])
             for x, y in zip(edges, edges[1:], strict=False):
