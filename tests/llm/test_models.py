@@ -420,6 +420,27 @@ def test_pipeline_equals_stage_by_stage_brute_force(spark, tmp_path):
     assert leaks or len(kept) < len(texts)
 
 
+def test_pipeline_of_odd_tables(spark, make, tmp_path):
+    """Nulls, empty, repeated and very long rows, clashing columns, and an empty table, through all stages."""
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    leak = bench.first().text
+    prose = [" ".join(f"word{(i * 7 + k) % 997}" for k in range(60)) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(prose)] + [(0, prose[0]), (20, prose[1].upper()), (None, "quite another text that has no id at all"), (None, None), (31, ""), (32, None), (33, f"so {leak} it is"), (34, "long words " * 40_000), (None, "quite another text that has no id at all")]
+    sf = str(tmp_path)
+    clash = ["fp", "root", "norm", "digest", "tokens", "ids", "x"]
+    spark.createDataFrame([(1, 1, 0), (2, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    bench.write.parquet(f"{sf}/benchmark.parquet")
+    make(rows, clash).coalesce(1).write.parquet(f"{sf}/documents.parquet")
+    got = corpus_pipeline.run(spark, sf).collect()
+    ids = sorted(str(r.doc_id) for r in got)
+    # labels of one class keep all; of equal texts the largest id stays (1 goes to 20, blank texts to 32), repeated rows once
+    assert ids == sorted(["0", *map(str, range(2, 12)), "20", "32", "34", "None"]) and all(r.n_tokens == len(r.ids) for r in got)
+    make([], clash).write.parquet(f"{sf}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{sf}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{sf}/none").count() == 0
+
+
 def five_word_shingles(text):
     words = (text or "").translate(UPPER).encode().split()
     return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
