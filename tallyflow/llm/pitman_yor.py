@@ -1,6 +1,10 @@
 """Hierarchical Pitman-Yor language model: a restaurant for each previous word, all sharing one parent; Gibbs moves take customers out
 and seat them again, and the predictive probabilities of the sampled seatings are averaged.
 
+A move takes all customers of one word in one restaurant out and seats them again by their exact law given everyone else, so a round moves
+every customer, however many a word has. Which of a word's tables they sit at changes no probability, only how many tables there are, so
+that number is what is drawn and kept.
+
 Restaurants are dealt out in buckets by their context's hash, so a task holds whole restaurants; those with very many pairs are cut into
 parts by word, and the totals of their parts are summed each round. The parent is dealt out in buckets by word: after a round, buckets of
 contexts send it how many tables serve each word that has moved, and it sends back what these words have there. A word that follows a
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,10 @@ from tallyflow.llm.common import discard, document_bucket, text_chunks, trim, wr
 FOLDS, HELD_OUT = 7, 2
 #: Rounds whose seatings are forgotten, and rounds whose predictive probabilities are averaged.
 BURN_IN, SAMPLES = 1, 2
-#: Customers of each word in each restaurant that a round takes out and seats again, one after the other, each drawn anew.
-MOVES = 8
+#: Customers up to which the ways to seat them are added up one customer at a time; of more they are integrals.
+ADDED = 512
+#: Numbers of tables that are looked at first, and numbers held at once in drawing them.
+FIRST_TABLES, BLOCK = 8, 1 << 20
 #: Strengths of the context restaurants and of their parent. Discounts are estimated from counts of counts, in units of 1 / UNIT.
 STRENGTH, PARENT_STRENGTH = 0.5, 1.0
 UNIT = 1024
@@ -326,8 +333,103 @@ def draw(keys: np.ndarray, *salt: int) -> np.ndarray:
     return (z >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+@lru_cache(maxsize=4)
+def _added_ways(discount: int) -> np.ndarray:
+    """log_ways of 0 to ADDED customers, a row each, by how the last one sat down."""
+    out = np.full((ADDED + 1, ADDED), -np.inf)
+    out[1, 0], t = 0.0, np.arange(1, ADDED + 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for n in range(1, ADDED):
+            out[n + 1] = out[n] + np.log(np.maximum(n - discount / UNIT * t, 0))
+            out[n + 1, 1:] = np.logaddexp(out[n + 1, 1:], out[n, :-1])
+    return out
+
+
+def _log_less(v: np.ndarray) -> np.ndarray:
+    """log(1 - exp(v)) for a real part of v below zero."""
+    near = v.real > -0.7
+    return np.where(near, np.log(-np.expm1(np.where(near, v, -1))), np.log1p(-np.exp(np.where(near, -1, v))))
+
+
+def _integrated_ways(customers: np.ndarray, tables: int, discount: int) -> np.ndarray:
+    """log_ways of more than ADDED customers: n! / t! times the coefficient of x^n in ((1 - (1 - x)^d) / d)^t, as Cauchy's integral over
+    z = -n log x on a parabola around the cut, through the saddle point. Its terms fall off so fast that the sum over some tens of points
+    is right to about ten digits, whatever n and t are."""
+    d = discount / UNIT
+    n, every = customers.astype(np.float64)[:, None], np.arange(1.0, tables + 1)[None]
+    t = np.minimum(every, n - 1)
+    # the saddle point by the t that has it, which is explicit
+    grid = np.exp(np.linspace(np.log(1e-3), np.log(60.0 * n[:, 0]), 200, axis=1))
+    y = _log_less(-grid / n)
+    at = _log_less(d * y) + np.log(n / d) + grid / n + (1 - d) * y
+    z0 = np.exp(np.stack([np.interp(np.log(b), a, g) for a, b, g in zip(at, t, np.log(grid), strict=True)]))
+    low = z0 < 2  # there the 1 of the power, which integrates to nothing, would hide the rest
+    mu = np.maximum(z0, 2)
+    h = np.minimum(0.25, 0.42 / np.sqrt((1 - d) * mu))
+    points = math.ceil(max(16, 4.0 / math.sqrt(2 * (1 - d)) / 0.25)) + 4
+    ring = (n - t < 25) | (2 * mu * h * points > np.pi * n)  # nearly a table for each: the parabola is too wide, and a circle around 0 serves
+    h = np.where(ring, np.pi * n / (points - 1) / mu, h)
+    s = 1 + 1j * h[..., None] * np.arange(points)
+    z = mu[..., None] * np.where(ring[..., None], s, s * s)
+    s = np.where(ring[..., None], 0.5, s)
+    log_power = t[..., None] * _log_less(d * _log_less(-z / n[..., None]))
+    top = np.where(low, 0, log_power[..., 0].real) + mu
+    f = np.where(low[..., None], np.expm1(np.where(low[..., None], log_power, 0)) * np.exp(z - mu[..., None]), np.exp(log_power + z - top[..., None])) * s
+    f[..., 0] /= 2
+    f[ring, -1] /= 2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = top + np.log(np.maximum(f.real.sum(axis=-1), 0) * h * mu) - t * np.log(d) - np.cumsum(np.log(t), axis=1)
+    return np.where(every < n, out, np.where(every == n, -_log_rest(n), -np.inf))
+
+
+def _log_rest(n: np.ndarray) -> np.ndarray:
+    """What log_ways leaves out for each n: log(2 (n - 1)! / pi)."""
+    return np.log(2 / np.pi) + np.vectorize(math.lgamma)(n)
+
+
+def log_ways(customers: np.ndarray, tables: int, discount: int) -> np.ndarray:
+    """For each number of customers a row: log of the ways to seat them at 1, 2, .. tables, each beside c others counting c - discount, up
+    to a number that is the same in a row."""
+    out = np.full((len(customers), tables), -np.inf)
+    few = customers <= ADDED
+    out[few, :ADDED] = _added_ways(discount)[customers[few], :tables]
+    many, step = np.flatnonzero(~few), max(1, BLOCK // (64 * tables))
+    for i in range(0, len(many), step):
+        out[many[i : i + step]] = _integrated_ways(customers[many[i : i + step]], tables, discount)
+    return out
+
+
+def seated(customers: np.ndarray, first: np.ndarray, more: np.ndarray, discount: int, u: np.ndarray) -> np.ndarray:
+    """How many tables each word has once all its customers, so many, were taken out and seated again, by the exact law given everyone else;
+    the odds of a further table beside t are first + more * t. u: a draw for each word.
+
+    The law is that in which customers who leave and come one at a time end up. It has one top; numbers of tables are looked at until the
+    odds of the last are below what a float can add.
+    """
+    tables, left, most = np.minimum(customers, 1).astype(np.int64), np.flatnonzero(customers > 1), FIRST_TABLES
+    while len(left):
+        n, which = np.unique(customers[left], return_inverse=True)
+        rest, kinds = [], max(1, BLOCK // most)
+        order = np.argsort(which, kind="stable")
+        edges = np.searchsorted(which[order], np.arange(0, len(n) + kinds, kinds))
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            ways = log_ways(n[k * kinds : (k + 1) * kinds], most, discount)
+            for i in range(a, b, kinds):
+                part = order[i : min(b, i + kinds)]
+                on = left[part]
+                log = ways[which[part] - k * kinds]
+                log[:, 1:] += np.cumsum(np.log(first[on, None] + more[on, None] * np.arange(1, most)), axis=1)
+                odds = np.exp(log - log.max(axis=1, keepdims=True))
+                done = (odds[:, -1] < 1e-18) | (customers[on] <= most)
+                total = np.cumsum(odds[done], axis=1)
+                tables[on[done]] = 1 + np.minimum((total <= u[on[done], None] * total[:, -1:]).sum(axis=1), np.minimum(customers[on[done]], most) - 1)
+                rest.append(on[~done])
+        left, most = np.concatenate(rest), most * 4
+    return tables
+
+
 def first_seats(customers: np.ndarray, weight: np.ndarray, discount: float, keys: np.ndarray, salt: int) -> np.ndarray:
-    """Where moves start from: tables that so many customers of one word open, each but the first with odds weight : customers there
+    """One way to seat everyone as they arrive, which no round uses: tables that so many customers of one word open, each but the first with odds weight : customers there
     - discount * tables.
 
     Seats customer by customer for the first eight, then from table to table: with n seated and t tables, none of the next m opens
@@ -350,7 +452,7 @@ def first_seats(customers: np.ndarray, weight: np.ndarray, discount: float, keys
 
 
 class Seating:
-    """Tables of many words side by side: how many customers each has, word by word; each word's last place is a free one."""
+    """Moves of one customer at a time, the plain form that `seated` is held against in tests. Tables of many words side by side: how many customers each has, word by word; each word's last place is a free one."""
 
     def __init__(self, sizes: np.ndarray, tables: np.ndarray):
         """sizes: customers of each table, one word after the other; tables: how many each word has."""
@@ -453,7 +555,7 @@ def _hash(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 _STATE = (
-    "bucket long, contexts binary, singles binary, m_context binary, m_words binary, m_counts binary, sizes binary, tables binary, "
+    "bucket long, contexts binary, singles binary, m_context binary, m_words binary, m_counts binary, tables binary, "
     "kept array<binary>, cut_contexts array<long>, cut_tables array<long>"
 )
 
@@ -476,9 +578,9 @@ class Restaurants:
         return np.where(self.hot, self.shared["cut"][2][self.at], own) if self.hot.any() else own
 
 
-def _round(shared: dict, totals: Totals, now: tuple[int, int], n: int, seed: int, keep: bool, first: bool, moves: int, buckets: int):
-    """One Gibbs round over a bucket, given what its words have in the parent and the parent's totals; keep appends the tables to those
-    that are averaged. Mail to the parent: how many tables serve each word."""
+def _round(shared: dict, totals: Totals, now: tuple[int, int], n: int, seed: int, keep: bool, buckets: int):
+    """One Gibbs round over a bucket, given what its words have in the parent and the parent's totals: all customers of each word are taken
+    out and seated again. The first starts from one table for each word. keep appends the tables to those that are averaged. Mail to the parent: how many tables serve each word."""
 
     def run(state: pa.Table, mail: pa.Table) -> pa.Table:
         if not state.num_rows:
@@ -490,21 +592,12 @@ def _round(shared: dict, totals: Totals, now: tuple[int, int], n: int, seed: int
         known, customers, parent_tables = _opened(mail.to_pylist(), "<i8", "<i8")
         order = np.argsort(known)
         p = parent_probability(totals, customers[order], parent_tables[order], *now)[of]  # the parent answers for just these words
-        if first:
-            total = r.singles + np.bincount(r.owner, minlength=len(r.contexts))
-            total = np.where(r.hot, shared["cut"][2][r.at], total) if r.hot.any() else total
-            tables = first_seats(r.counts, (STRENGTH + d / UNIT * total[r.owner]) * p, d / UNIT, keys, seed)
-            seats = Seating.opened(r.counts, tables)
-            kept = []
-        else:
-            tables = unpack(row["tables"], "<u4").astype(np.int64)
-            seats, kept, total = Seating(unpack(row["sizes"], "<i8"), tables), row["kept"], r.totals(tables)
-        others = total[r.owner] - (1 if first else tables)
-        seats.moved(lambda t: (STRENGTH + d / UNIT * (others + t)) * p, d, keys, seed + n, moves)
-        sizes, tables = seats.packed()
+        tables, kept = (unpack(row["tables"], "<u4").astype(np.int64), row["kept"]) if n else (np.ones(len(r.words), np.int64), [])
+        others = r.totals(tables)[r.owner] - tables
+        tables = seated(r.counts, (STRENGTH + d / UNIT * others) * p, d / UNIT * p, d, draw(keys, seed + n))
         own = _sums(r.owner, tables, len(r.contexts)) + r.singles
         out = (
-            *[row[k] for k in ("bucket", "contexts", "singles", "m_context", "m_words", "m_counts")], pack(sizes), pack(tables.astype(np.uint32)),
+            *[row[k] for k in ("bucket", "contexts", "singles", "m_context", "m_words", "m_counts")], pack(tables.astype(np.uint32)),
             [*kept, pack(tables.astype(np.uint32))] if keep else kept, r.contexts[r.hot].view(np.int64), own[r.hot],
         )
         return _table(_STATE, [out], _mail(word_bucket(words, buckets), row["bucket"], words, _sums(of, tables, len(words))))
@@ -529,12 +622,12 @@ def parent_probability(totals: Totals, customers, tables, all_customers: int, al
     return (np.maximum(customers - d * tables, 0) + (PARENT_STRENGTH + d * all_tables) * totals.base) / (PARENT_STRENGTH + all_customers)
 
 
-_PARENT = "bucket long, words binary, tokens binary, singles binary, customers binary, tables binary, sizes binary, kept array<binary>, facts array<long>"
+_PARENT = "bucket long, words binary, tokens binary, singles binary, customers binary, tables binary, kept array<binary>, facts array<long>"
 
 
-def _parent_row(bucket: int, words, tokens, singles, customers, tables, sizes, kept) -> tuple:
+def _parent_row(bucket: int, words, tokens, singles, customers, tables, kept) -> tuple:
     facts = [len(words), tokens.sum(), customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum()]
-    return (bucket, *[pack(x.astype("<i8")) if x.dtype != np.uint64 else pack(x) for x in (words, tokens, singles, customers, tables, sizes)], kept, [int(x) for x in facts])
+    return (bucket, *[pack(x.astype("<i8")) if x.dtype != np.uint64 else pack(x) for x in (words, tokens, singles, customers, tables)], kept, [int(x) for x in facts])
 
 
 def _answers(mail: list[dict], words: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> list[tuple]:
@@ -554,13 +647,13 @@ def _vocabulary(table: pa.Table) -> pa.Table:
     words, of = np.unique(names, return_inverse=True)
     tokens, once, often_all = (_sums(of, x, len(words)) for x in (tokens, once, often))
     customers, tables = once + often_all, np.ones(len(words), np.int64)
-    row = _parent_row(mail[0]["to"], words, tokens, once, customers, tables, np.zeros(0, np.int64), [])
+    row = _parent_row(mail[0]["to"], words, tokens, once, customers, tables, [])
     asks = [m | {"names": pack(unpack(m["names"], "<u8")[unpack(m["z"], "<i8") > 0])} for m in mail]
     return _table(_PARENT, [row], _answers([m for m in asks if m["names"]], words, customers, tables))
 
 
-def _parent_round(totals: Totals, all_tables: int, seed: int, n: int, moves: int, keep: bool):
-    """A bucket of the parent after a round: customers are brought to their new number, then moved."""
+def _parent_round(totals: Totals, all_tables: int, seed: int, n: int, keep: bool):
+    """A bucket of the parent after a round: the customers of each word, in their new number, are seated again."""
 
     def run(state: pa.Table, table: pa.Table) -> pa.Table:
         if not state.num_rows:
@@ -569,18 +662,10 @@ def _parent_round(totals: Totals, all_tables: int, seed: int, n: int, moves: int
         words, tokens, singles, held = unpack(row["words"], "<u8"), *(unpack(row[k], "<i8") for k in ("tokens", "singles", "tables"))
         names, tables = _opened(mail, "<i8")
         customers = singles + _sums(np.searchsorted(words, names), tables, len(words))
-        keys = finalise(words)
-        if n == 0:
-            weight = np.full(len(keys), (PARENT_STRENGTH + d / UNIT * all_tables) * totals.base)
-            seats = Seating.opened(customers, first_seats(customers, weight, d / UNIT, keys, seed))
-        else:
-            seats = Seating(unpack(row["sizes"], "<i8"), held)
-        odds = lambda t: (PARENT_STRENGTH + d / UNIT * (all_tables - held + t)) * totals.base
-        seats.brought_to(customers, odds, d, keys, seed + 100 + n)
-        seats.moved(odds, d, keys, seed + 200 + n, moves)
-        sizes, tables = seats.packed()
+        weight = (PARENT_STRENGTH + d / UNIT * (all_tables - held)) * totals.base
+        tables = seated(customers, weight, np.full(len(words), d / UNIT * totals.base), d, draw(finalise(words), seed + 100 + n))
         kept = [*row["kept"], pack(customers), pack(tables)] if keep else row["kept"]
-        return _table(_PARENT, [_parent_row(row["bucket"], words, tokens, singles, customers, tables, sizes, kept)], _answers(mail, words, customers, tables))
+        return _table(_PARENT, [_parent_row(row["bucket"], words, tokens, singles, customers, tables, kept)], _answers(mail, words, customers, tables))
 
     return run
 
@@ -715,7 +800,7 @@ def _cut_totals(state: DataFrame, guests: dict[int, int], tables: str = "cut_tab
     return np.array(names, np.uint64), np.array([guests[k] for k in names]), np.array([t[k] for k in names])
 
 
-def score_documents(docs: DataFrame, samples: int = SAMPLES, burn_in: int = BURN_IN, moves: int = MOVES, seed: int = 11, limit: int = LIMIT, bytes_a_bucket: int = BYTES_A_BUCKET, each: bool = False) -> DataFrame:
+def score_documents(docs: DataFrame, samples: int = SAMPLES, burn_in: int = BURN_IN, seed: int = 11, limit: int = LIMIT, bytes_a_bucket: int = BYTES_A_BUCKET, each: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; with each also
     token_scores, the log10 probability of every token.
 
@@ -755,9 +840,9 @@ def score_documents(docs: DataFrame, samples: int = SAMPLES, burn_in: int = BURN
     state = own(base, "contexts", "singles", "m_context", "m_words", "m_counts")
     rounds, parents, old = [], [], []
     for n in range(burn_in + samples):
-        work = _round(shared, totals, now, n, seed, n >= burn_in, n == 0, moves, buckets)
+        work = _round(shared, totals, now, n, seed, n >= burn_in, buckets)
         new = written(state.groupBy("bucket").cogroup(mail(parent).groupBy("to")).applyInArrow(work, f"{_MAIL}, {_STATE}"), "lm-state")
-        work = _parent_round(totals, now[1], seed, n, moves, n >= burn_in)
+        work = _parent_round(totals, now[1], seed, n, n >= burn_in)
         risen = written(own(parent, *_columns(_PARENT)[0][1:]).groupBy("bucket").cogroup(mail(new).groupBy("to")).applyInArrow(work, f"{_MAIL}, {_PARENT}"), "lm-parent")
         for gone in [parent, *old]:
             discard(gone)
@@ -774,7 +859,7 @@ def score_documents(docs: DataFrame, samples: int = SAMPLES, burn_in: int = BURN
     asked = read.mapInArrow(_asks(buckets, hot[0]), _MAIL).select(*_columns(_MAIL)[0][1:])
     known = written(asked.groupBy("to").cogroup(own(parent, "words", "tokens", "kept").groupBy("bucket")).applyInArrow(_told, _KNOWN), "lm-known")
     discard(parent)
-    answers = state.drop("sizes", "tables").join(own(base, "moving", "a_guests", "a_singles", "chunks", "a_contexts", "codes"), "bucket")
+    answers = state.drop("tables").join(own(base, "moving", "a_guests", "a_singles", "chunks", "a_contexts", "codes"), "bucket")
     answers = written(answers.mapInArrow(_answer(rounds), _ANSWER), "lm-answers")
     for gone in [base, *old]:
         discard(gone)

@@ -387,6 +387,47 @@ def test_moves_follow_the_exact_law():
     assert seats.customers().tolist() == [3] * (many // 2) + [14] * (many - many // 2)
 
 
+def test_ways_are_those_added_up_one_customer_at_a_time():
+    for d in (60, 500, 940):
+        row, want = np.where(np.arange(700) > 0, -np.inf, 0.0), {}
+        for k in range(1, 3001):
+            want[k] = row
+            with np.errstate(divide="ignore"):
+                more = row + np.log(np.maximum(k - d / pitman_yor.UNIT * np.arange(1, 701), 0))
+            row = np.r_[more[0], np.logaddexp(more[1:], row[:-1])]
+        for n in (1, 40, 512, 513, 690, 3000):
+            got = pitman_yor.log_ways(np.array([n]), 700, d)[0]
+            some = np.isfinite(want[n])
+            apart = got[some] - want[n][some]
+            assert (np.isfinite(got) == some).all() and abs(apart - np.median(apart)).max() < 1e-4, (d, n)
+
+
+def test_a_round_moves_every_customer():
+    """Of a word with thousands of customers too, the tables after one round follow the exact law, wherever they were before."""
+    many, d = 20_000, 600
+    u = (np.arange(many) + 0.5) / many
+    for n, first, more in ((2, 0.3, 0.05), (9, 0.4, 0.1), (300, 20.0, 0.02), (3000, 2.0, 0.01), (3000, 0.02, 0.001)):
+        law = np.where(np.arange(700) > 0, -np.inf, 0.0)
+        for k in range(1, n):
+            with np.errstate(divide="ignore"):
+                stay = law + np.log(np.maximum(k - d / pitman_yor.UNIT * np.arange(1, 701), 0))
+            law = np.r_[stay[0], np.logaddexp(stay[1:], law[:-1])]
+        law[1:] += np.cumsum(np.log(first + more * np.arange(1, 700)))
+        law = np.exp(law - law.max())
+        got = np.bincount(pitman_yor.seated(np.full(many, n), np.full(many, first), np.full(many, more), d, u) - 1, minlength=700) / many
+        assert abs(got - law / law.sum()).max() < 2 / many, n
+    one = pitman_yor.seated(np.array([0, 1, 10**9]), np.ones(3), np.full(3, 0.1), d, np.full(3, 0.5))
+    assert one[:2].tolist() == [0, 1] and 1 <= one[2] < 50
+    # one at a time, from one table each: eight moves of 60 customers leave most of the way to go, 2,400 don't
+    weight = lambda t: 6 + 0.02 * np.asarray(t)
+    keys, seats = pitman_yor.finalise(np.arange(1, 1001, dtype=np.uint64)), pitman_yor.Seating.opened(np.full(1000, 60), np.ones(1000, np.int64))
+    whole = pitman_yor.seated(np.full(1000, 60), np.full(1000, 6.0), np.full(1000, 0.02), d, pitman_yor.draw(keys, 3)).mean()
+    seats.moved(weight, d, keys, 5, 8)
+    assert seats.tables().mean() < whole / 2
+    seats.moved(weight, d, keys, 6, 2400)
+    assert abs(seats.tables().mean() - whole) < 0.6
+
+
 def test_first_seats_are_near_the_law_of_arrivals():
     rng = np.random.default_rng(1)
     n, d, w = 60, 0.4, 1.5
