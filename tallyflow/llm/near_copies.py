@@ -1,8 +1,9 @@
 """SimHash near-dedup by similarity: texts whose sets of five-word shingles are alike are linked.
 
-Fingerprints here have 256 bits, as a similarity of 0.8 leaves some 39 of them apart and chance some 128. They are compared in tiles by
-exclusive-or and bit count, as the 64-bit ones are, and what is within the radius is verified by the sets themselves. Equal fields of bits
-can't say which texts to put in one tile at so wide a radius, so those that share minima of hashed shingles are.
+Fingerprints here have 1,024 bits, as a similarity of 0.8 leaves some 15 in 100 of them apart and chance one half. As for the 64-bit ones,
+equal fields of their bits say which texts meet; those are compared in tiles by exclusive-or and bit count, over the first 256 bits, and
+what is within the radius is verified by the sets themselves. At so wide a radius no number of fields is sure to have an equal one, so
+there are so many that hardly any pair has none.
 """
 
 from __future__ import annotations
@@ -23,21 +24,26 @@ from tallyflow.llm.simhash import Tiles, components, named, whole_buckets
 SHINGLE = 5
 #: The least similarity (shared shingles over all) of a link, as a fraction.
 SIMILARITY = (4, 5)
-#: Two texts share a band if ROWS minima agree: a pair of similarity 0.8 does in one of BANDS with odds 0.99995, a closer one with more.
-BANDS, ROWS = 25, 5
-#: 64-bit words of a fingerprint. Of 256 bits, 39 with a deviation of 6 differ at a similarity of 0.8 (48 for sets of four and five), 128
-#: with one of 8 by chance.
-WORDS, RADIUS = 4, 80
+#: Fields of a fingerprint and bits of each. Two texts meet if a field is equal: a pair of similarity 0.8 has one with odds of over 0.9999999
+#: (0.99995 for sets of four and five shingles), a closer one with more; unlike texts share one field in 2,048.
+BANDS, BITS = 93, 11
+#: 64-bit words of a fingerprint, and of its part that is compared. Of 256 bits, 39 with a deviation of 6 differ at a similarity of 0.8 (48
+#: for sets of four and five), 128 with one of 8 by chance.
+ALL_WORDS, WORDS, RADIUS = 16, 4, 80
+#: Of the first 128 bits, 20 differ at a similarity of 0.8 (24 with a deviation of 4.4 for sets of four and five), 64 by chance.
+HALF_RADIUS = 50
 #: Sets of FEW shingles or more that are similar enough are within CLOSE but for odds of some 1 in 100,000.
 FEW, CLOSE = 30, 64
 #: Texts of a bucket that are compared in one go, and pairs of one text that are verified in one place; more are dealt out in blocks.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Texts whose fields are written out at once.
+SLICE = 1 << 14
 #: Bits of the bounded filter that says which texts' sets may be needed.
 FILTER = 1 << 21
 
 _rng = np.random.default_rng(5)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE, _MIX, _TURN, _ROW, _BAND, _WORD = _odd(64), _odd(BANDS * ROWS), _odd(BANDS * ROWS), _odd(ROWS), _odd(BANDS), _odd(WORDS)
+_PLACE, _WORD = _odd(64), _odd(ALL_WORDS)
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -83,30 +89,24 @@ def set_hashes(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A key for each text that has shingles and each band."""
-    sizes = sizes[sizes > 0]
-    keys = np.empty((len(sizes), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(sizes), _BAND[b], np.uint64)
-        for r in range(ROWS):
-            p = b * ROWS + r
-            key += finalise(_sums((h ^ _TURN[p]) * _MIX[p], sizes, np.minimum)) * _ROW[r]
-        keys[:, b] = finalise(key)
-    return keys
-
-
-def wide_prints(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A row of WORDS words for each text that has shingles: a bit is set if it is in over half of the set's hashes. Eight bits are counted
+def field_keys(prints: np.ndarray) -> np.ndarray:
+    """For each fingerprint of ALL_WORDS words, a key of each field: which one it is, and its bits."""
+    bits = np.unpackbits(np.ascontiguousarray(prints, "<u8").view(np.uint8), axis=1, count=BANDS * BITS, bitorder="little")
+    values = bits.reshape(len(prints), BANDS, BITS) @ (1 << np.arange(BITS)).astype(np.int64)
+    return values + (np.arange(BANDS) << BITS)
+
+
+def wide_prints(h: np.ndarray, sizes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """A row of words for each text that has shingles: a bit is set if it is in over half of the set's hashes. Eight bits are counted
     at once, each in a byte of its own, over at most 255 hashes."""
     sizes = sizes[sizes > 0]
     first = np.cumsum(sizes) - sizes
     cuts = -(-sizes // 255)
     owner = np.repeat(np.arange(len(sizes)), cuts)
     start = first[owner] + 255 * (np.arange(len(owner)) - (np.cumsum(cuts) - cuts)[owner])
-    out = np.zeros((len(sizes), WORDS), np.uint64)
+    out = np.zeros((len(sizes), words), np.uint64)
     lanes = np.uint64(0x0101010101010101)
-    for w in range(WORDS):
+    for w in range(words):
         hashed = finalise(h ^ _WORD[w])
         for j in range(8):
             counted = np.add.reduceat(hashed >> np.uint64(j) & lanes, start).view(np.uint8).reshape(-1, 8)
@@ -129,13 +129,17 @@ def _read(k: int):
             if not batch.num_rows:
                 continue
             h, sizes = shingle_sets(batch.column("text"), k)
-            edges = np.r_[0, np.cumsum(np.where(sizes > 0, BANDS, 0))].astype(np.int32)
-            keys = band_keys(h, sizes).ravel() if len(h) else np.zeros(0, np.uint64)
-            prints = np.zeros((len(sizes), WORDS), np.uint64)
-            if len(h):
-                prints[sizes > 0] = wide_prints(h, sizes)
-            columns = [batch.column("doc_id"), _signed(set_hashes(h, sizes)), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges), _signed(keys)), *map(_signed, prints.T)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n_shingles", "bands", *_PRINT])
+            ends = np.r_[0, np.cumsum(sizes)]
+            for i in range(0, len(sizes), SLICE):
+                part = sizes[i : i + SLICE]
+                own, some = h[ends[i] : ends[i + len(part)]], part > 0
+                prints = np.zeros((len(part), ALL_WORDS), np.uint64)
+                if len(own):
+                    prints[some] = wide_prints(own, part, ALL_WORDS)
+                edges = np.r_[0, np.cumsum(np.where(some, BANDS, 0))].astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(edges), pa.array(field_keys(prints[some]).ravel()))
+                columns = [batch.column("doc_id").slice(i, len(part)), _signed(set_hashes(own, part)), pa.array(part.astype(np.int64)), keys, *map(_signed, prints[:, :WORDS].T)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n_shingles", "bands", *_PRINT])
 
     return run
 
@@ -181,6 +185,62 @@ def _alike_enough(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) ->
     return both * similarity[1] >= (len(x) + len(y) - both) * similarity[0]
 
 
+def _near_pairs(table: pa.Table, similarity: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, differ): rows of one bucket whose fingerprints are within the radius and whose sets' sizes allow for the similarity. Tiles are
+    compared by half of the words, and what is near there by all."""
+    key, n = (table.column(c).to_numpy() for c in ("key", "n_shingles"))
+    prints = np.stack([table.column(c).to_numpy().view(np.uint64) for c in _PRINT], axis=1)
+    tiles = Tiles(key, prints[:, : WORDS // 2], HALF_RADIUS)
+    for i, j, near in tiles.pairs():
+        x, y = np.nonzero(near)
+        x, y = tiles.order[x + i], tiles.order[y + j]
+        least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        some = (key[x] == key[y]) & (least * similarity[1] >= most * similarity[0])
+        x, y, least = x[some], y[some], least[some]
+        differ = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64)
+        some = differ <= np.where(least < FEW, RADIUS, CLOSE)
+        if some.any():
+            yield x[some], y[some], differ[some]
+
+
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels of components, each the least row of its own, once rows x and y are connected too."""
+    while (apart := label[x] != label[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _near_groups(similarity: tuple[int, int]):
+    """From rows (key, fp, n_shingles, print) sorted by key: of each bucket, the rows that fingerprints within the radius connect to others,
+    with a key of the group and its least and largest fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches):
+            label, found, held = np.arange(table.num_rows), [], 0
+            for x, y, _ in _near_pairs(table, similarity):
+                found.append((x, y))
+                held += len(x)
+                if held > BLOCK * 64:
+                    label, found, held = _joined(label, *map(np.concatenate, zip(*found, strict=True))), [], 0
+            if found:
+                label = _joined(label, *map(np.concatenate, zip(*found, strict=True)))
+            some = np.flatnonzero((np.bincount(label, minlength=len(label)) > 1)[label])
+            if not len(some):
+                continue
+            some = some[np.argsort(label[some], kind="stable")]
+            new = np.flatnonzero(np.r_[True, label[some][1:] != label[some][:-1]])
+            size = np.diff(np.r_[new, len(some)])
+            fp, least = table.column("fp").to_numpy(), label[some][new]
+            name = finalise(table.column("key").to_numpy()[least].view(np.uint64) * _PLACE[0] + finalise(fp[least].view(np.uint64)))
+            lo, hi = (np.repeat(by.reduceat(fp[some], new), size) for by in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([_signed(np.repeat(name, size)), *map(pa.array, (fp[some], table.column("n_shingles").to_numpy()[some], lo, hi))], ["key", "fp", "n_shingles", "lo", "hi"])
+
+    return run
+
+
 def _linked(similarity: tuple[int, int]):
     """From rows (key, fp, root, n_shingles, shingles, print) sorted by key: links that connect what pairs of a bucket connect whose
     fingerprints are within the radius and whose sets are as similar as asked. The closest pairs are verified first, and none that are
@@ -188,19 +248,8 @@ def _linked(similarity: tuple[int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches):
-            key, fp, n = (table.column(c).to_numpy() for c in ("key", "fp", "n_shingles"))
-            tiles = Tiles(key, np.stack([table.column(c).to_numpy().view(np.uint64) for c in _PRINT], axis=1), RADIUS)
-            sets = table.column("shingles").combine_chunks()
-            found = []
-            for i, j, near in tiles.pairs():
-                x, y = np.nonzero(near)
-                x, y = tiles.order[x + i], tiles.order[y + j]
-                least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                some = (key[x] == key[y]) & (least * similarity[1] >= most * similarity[0])
-                x, y, least = x[some], y[some], least[some]
-                differ = sum(np.bitwise_count(table.column(c).to_numpy().view(np.uint64)[x] ^ table.column(c).to_numpy().view(np.uint64)[y]).astype(np.int64) for c in _PRINT)
-                some = differ <= np.where(least < FEW, RADIUS, CLOSE)
-                found.append((x[some], y[some], differ[some]))
+            fp, sets = table.column("fp").to_numpy(), table.column("shingles").combine_chunks()
+            found = list(_near_pairs(table, similarity))
             if not found:
                 continue
             x, y, differ = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -231,15 +280,16 @@ def links(docs: DataFrame, sets_of: DataFrame, k: int = SHINGLE, similarity: tup
     """(a, b): pairs of set hashes, each verified by the sets themselves, that connect what similar pairs in a common bucket connect.
     sets_of: a row for each distinct set (fp, n_shingles, bands, p0..).
 
-    First each text is held against two of its bucket, which connects a large group of copies by a number of comparisons that follows
-    its size; then those of a bucket that are still apart are compared by their fingerprints, tile by tile, and verified where they lie.
-    Buckets that hold many texts are hot keys of the joins and cut into blocks for the tiles.
+    First, of the texts that share a field, those are found that fingerprints within the radius connect: the groups of a bucket. Each text
+    is verified against two of its group, which connects a large group of copies by a number of comparisons that follows its size; then
+    those of a group that are still apart are compared once more, tile by tile, and verified where they lie. Buckets and groups that hold
+    many texts are cut into blocks for the tiles.
     """
-    keyed = sets_of.select("fp", "n_shingles", F.explode("bands").alias("key")).distinct()
-    ends = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    ends = written(ends, "buckets")
-    shared = written(join_groups(keyed, ends, "key", "n", max(1, ends.agg(F.sum("n")).first()[0] or 0)), "shared")
-    discard(ends)
+    keyed = sets_of.select("fp", "n_shingles", *_PRINT, F.explode("bands").alias("key"))
+    large = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks")).where("blocks > 1")  # there are 93 * 2,048 keys
+    dealt = in_blocks(keyed.join(F.broadcast(large), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))))
+    near = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_near_groups(similarity), "key long, fp long, n_shingles long, lo long, hi long")
+    shared = written(near, "shared")
     wanted = np.zeros(FILTER, bool)
     wanted[shared.select(F.col("fp").bitwiseAND(F.lit(FILTER - 1)).alias("x")).distinct().toPandas()["x"].to_numpy(np.int64)] = True
     sets = _rows(docs).mapInArrow(_sets_of(wanted, k), "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))

@@ -82,7 +82,7 @@ class Tiles:
                 self.compared += 1
                 differ = np.bitwise_count(self.prints[i : i + tile, None, 0] ^ self.prints[None, j : j + tile, 0])
                 for w in range(1, self.prints.shape[1]):
-                    differ = differ.astype(np.uint16) + np.bitwise_count(self.prints[i : i + tile, None, w] ^ self.prints[None, j : j + tile, w])
+                    differ = (differ if w < 3 else differ.astype(np.uint16)) + np.bitwise_count(self.prints[i : i + tile, None, w] ^ self.prints[None, j : j + tile, w])
                 near = differ <= self.radius
                 if i == j:
                     near = np.triu(near, 1)

@@ -548,6 +548,27 @@ def test_similar_texts_are_within_the_radius():
             assert np.bitwise_count(a ^ b).sum() <= near_copies.RADIUS
 
 
+def test_texts_meet_by_equal_fields_of_their_fingerprints(spark, make):
+    """The bands are fields of the fingerprint's bits, and pairs of a similarity of little over 0.8 have one in common."""
+    r = random.Random(9)
+    rows = []
+    for n in (9, 40, 300):
+        for _ in range(60):
+            words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            shift = max(1, (n - 4) // 10)  # two windows of one text: a similarity of 0.8 or more
+            rows += [" ".join(words[:-shift]), " ".join(words[shift:] if n > 9 else words)]
+    h, sizes = near_copies.shingle_sets(near_copies.pa.array(rows))
+    prints = near_copies.wide_prints(h, sizes, near_copies.ALL_WORDS)
+    keys = near_copies.field_keys(prints)
+    for p, k in zip(prints[:20], keys[:20], strict=True):
+        bits = sum(int(x) << 64 * w for w, x in enumerate(p))
+        assert k.tolist() == [(f << 11) + (bits >> 11 * f) % 2048 for f in range(93)]
+    _, pairs = brute_near_copies(list(enumerate(rows)))
+    assert len(pairs) > 150 and all((keys[a] == keys[b]).any() for a, b in pairs)
+    got = make(list(enumerate(rows[:40]))).transform(near_copies._rows).mapInArrow(near_copies._read(5), "doc_id long, fp long, n_shingles long, bands array<long>, p0 long, p1 long, p2 long, p3 long").collect()
+    assert all(x.bands == keys[x.doc_id].tolist() for x in got)
+
+
 def test_buckets_in_blocks_link_as_whole_ones_do(spark, make):
     r = random.Random(8)
     body = [f"g{i}" for i in range(60)]
