@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions.hashing import finalise
@@ -27,6 +27,10 @@ SIMILARITY = (4, 5)
 #: Fields of a fingerprint and bits of each. Two texts meet if a field is equal: a pair of similarity 0.8 has one with odds of over 0.9999999
 #: (0.99995 for sets of four and five shingles), a closer one with more; unlike texts share one field in 2,048.
 BANDS, BITS = 93, 11
+#: Fields by which texts meet first: what fingerprints connect there is compared whole, and not again where other fields are equal.
+FIRST = 8
+#: Low bits of a bucket's key, which say the field that its texts share.
+FIELD_BITS = 7
 #: 64-bit words of a fingerprint, and of its part that is compared. Of 256 bits, 39 with a deviation of 6 differ at a similarity of 0.8 (48
 #: for sets of four and five), 128 with one of 8 by chance.
 ALL_WORDS, WORDS, RADIUS = 16, 4, 80
@@ -34,11 +38,13 @@ ALL_WORDS, WORDS, RADIUS = 16, 4, 80
 HALF_RADIUS = 50
 #: Sets of FEW shingles or more that are similar enough are within CLOSE but for odds of some 1 in 100,000.
 FEW, CLOSE = 30, 64
-#: Texts of a bucket that are compared in one go, and pairs of one text that are verified in one place; more are dealt out in blocks.
+#: Texts of a bucket that are compared in one go; more are dealt out in blocks.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: What is compared whole is cut into blocks of PART texts, for more tasks to share it, but into no more than PARTS for that.
+PART, PARTS = 128, 24
 #: Texts whose fields are written out at once.
 SLICE = 1 << 14
-#: Bits of the bounded filter that says which texts' sets may be needed.
+#: Bits of the bounded filters that say which rows and which texts' sets may be needed.
 FILTER = 1 << 21
 
 _rng = np.random.default_rng(5)
@@ -153,11 +159,16 @@ def text_prints(texts: pa.Array) -> np.ndarray:
     return set_hashes(*shingle_sets(texts))
 
 
-def _sets_of(wanted: np.ndarray, k: int):
-    """(fp, shingles) of the texts whose fp is in the filter."""
+def _held(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+    ids = batch.column("doc_id")
+    return batch.filter(pc.or_(pc.is_null(ids), pa.array(rows[pc.fill_null(ids, 0).to_numpy() & FILTER - 1])))
+
+
+def _sets_of(wanted: np.ndarray, rows: np.ndarray | None, k: int):
+    """(fp, shingles) of the texts whose fp is in the filter; of rows whose doc_id is null or in the other filter, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches if rows is None else (_held(b, rows) for b in batches), "text"):
             h, sizes = shingle_sets(batch.column("text"), k) if batch.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             fps, ends = set_hashes(h, sizes), np.cumsum(sizes)
             at = np.flatnonzero(wanted[(fps % np.uint64(FILTER)).astype(np.int64)] & (sizes > 0))
@@ -169,38 +180,43 @@ def _sets_of(wanted: np.ndarray, k: int):
     return run
 
 
-def _alike(similarity: tuple[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                kept.append(_alike_enough(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), similarity))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return run
+def _or_fp(table: pa.Table, column: str) -> np.ndarray:
+    return pc.coalesce(table.column(column), table.column("fp")).to_numpy()
 
 
-def _alike_enough(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both * similarity[1] >= (len(x) + len(y) - both) * similarity[0]
+def met_before(differ: np.ndarray, field: np.ndarray) -> np.ndarray:
+    """Whether two fingerprints, given by what differs in their first WORDS words, have an equal field there before the given one."""
+    out = np.zeros(len(field), bool)
+    for f in range(min(64 * WORDS // BITS, int(field.max(initial=0)))):
+        w, at = divmod(f * BITS, 64)
+        bits = differ[:, w] >> np.uint64(at)
+        if at + BITS > 64:
+            bits |= differ[:, w + 1] << np.uint64(64 - at)
+        out |= (f < field) & (bits & np.uint64((1 << BITS) - 1) == 0)
+    return out
 
 
-def _near_pairs(table: pa.Table, similarity: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, y, differ): rows of one bucket whose fingerprints are within the radius and whose sets' sizes allow for the similarity. Tiles are
-    compared by half of the words, and what is near there by all."""
+def _near_pairs(table: pa.Table, similarity: tuple[int, int], once: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y): rows of one bucket that were not compared before (seen differs), whose fingerprints are within the radius and whose sets' sizes
+    allow for the similarity. Tiles are compared by half of the words, and what is near there by all. once: a pair is left to the bucket of
+    the first field it shares, as far as the compared words show; it meets there, as all buckets are compared whole."""
     key, n = (table.column(c).to_numpy() for c in ("key", "n_shingles"))
+    seen, field = _or_fp(table, "seen"), key & (1 << FIELD_BITS) - 1
     prints = np.stack([table.column(c).to_numpy().view(np.uint64) for c in _PRINT], axis=1)
     tiles = Tiles(key, prints[:, : WORDS // 2], HALF_RADIUS)
     for i, j, near in tiles.pairs():
         x, y = np.nonzero(near)
         x, y = tiles.order[x + i], tiles.order[y + j]
         least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-        some = (key[x] == key[y]) & (least * similarity[1] >= most * similarity[0])
+        some = (key[x] == key[y]) & (seen[x] != seen[y]) & (least * similarity[1] >= most * similarity[0])
         x, y, least = x[some], y[some], least[some]
-        differ = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64)
-        some = differ <= np.where(least < FEW, RADIUS, CLOSE)
-        if some.any():
-            yield x[some], y[some], differ[some]
+        apart = prints[x] ^ prints[y]
+        differ = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+        some = np.flatnonzero(differ <= np.where(least < FEW, RADIUS, CLOSE))
+        if once:
+            some = some[~met_before(apart[some], field[x[some]])]
+        if len(some):
+            yield x[some], y[some]
 
 
 def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -213,14 +229,14 @@ def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return label
 
 
-def _near_groups(similarity: tuple[int, int]):
-    """From rows (key, fp, n_shingles, print) sorted by key: of each bucket, the rows that fingerprints within the radius connect to others,
-    with a key of the group and its least and largest fp."""
+def _near_groups(similarity: tuple[int, int], once: bool, block: int):
+    """From rows (key, fp, n_shingles, seen, print) sorted by key: of each bucket, the rows that fingerprints within the radius connect to
+    others they were not compared with, with a key of the group, its least fp, and the blocks it is to be cut into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches):
             label, found, held = np.arange(table.num_rows), [], 0
-            for x, y, _ in _near_pairs(table, similarity):
+            for x, y in _near_pairs(table, similarity, once):
                 found.append((x, y))
                 held += len(x)
                 if held > BLOCK * 64:
@@ -233,35 +249,51 @@ def _near_groups(similarity: tuple[int, int]):
             some = some[np.argsort(label[some], kind="stable")]
             new = np.flatnonzero(np.r_[True, label[some][1:] != label[some][:-1]])
             size = np.diff(np.r_[new, len(some)])
-            fp, least = table.column("fp").to_numpy(), label[some][new]
-            name = finalise(table.column("key").to_numpy()[least].view(np.uint64) * _PLACE[0] + finalise(fp[least].view(np.uint64)))
-            lo, hi = (np.repeat(by.reduceat(fp[some], new), size) for by in (np.minimum, np.maximum))
-            yield pa.RecordBatch.from_arrays([_signed(np.repeat(name, size)), *map(pa.array, (fp[some], table.column("n_shingles").to_numpy()[some], lo, hi))], ["key", "fp", "n_shingles", "lo", "hi"])
+            fp, key, least, low = table.column("fp").to_numpy(), table.column("key").to_numpy(), label[some][new], np.uint64((1 << FIELD_BITS) - 1)
+            name = finalise(key[least].view(np.uint64) * _PLACE[0] + finalise(fp[least].view(np.uint64))) & ~low | key[least].view(np.uint64) & low
+            held = np.add.reduceat(table.column("n_shingles").to_numpy()[some], new) * 8
+            blocks = np.maximum(-(-size // block), -(-held // BLOCK_BYTES))
+            of_group = [pa.array(np.repeat(c, size)) for c in (name.view(np.int64), np.minimum.reduceat(fp[some], new), blocks)]
+            rows = table.select(["fp", "n_shingles", "seen", *_PRINT]).take(pa.array(some)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*of_group, *(pa.concat_arrays(c.chunks) for c in rows.columns)], ["key", "lo", "blocks", *rows.column_names])
 
     return run
 
 
-def _linked(similarity: tuple[int, int]):
-    """From rows (key, fp, root, n_shingles, shingles, print) sorted by key: links that connect what pairs of a bucket connect whose
-    fingerprints are within the radius and whose sets are as similar as asked. The closest pairs are verified first, and none that are
-    known to be connected, so copies of one text take a number of steps that follows theirs."""
+def _linked(similarity: tuple[int, int], once: bool):
+    """From rows (key, fp, n_shingles, seen, root, print, shingles) sorted by key: links that connect what pairs of a bucket connect whose
+    fingerprints are within the radius and whose sets are as similar as asked. A row is verified against all its near ones of a tile at
+    once, but for those that are known to be connected with it (the same root, or links found here)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_buckets(batches):
-            fp, sets = table.column("fp").to_numpy(), table.column("shingles").combine_chunks()
-            found = list(_near_pairs(table, similarity))
-            if not found:
-                continue
-            x, y, differ = (np.concatenate(c) for c in zip(*found, strict=True))
-            _, label = np.unique(table.column("root").to_numpy(), return_inverse=True)
-            out, order = [], np.argsort(differ, kind="stable")
-            for start in range(0, len(order), 1024):
-                part = order[start : start + 1024]
-                for k in part[label[x[part]] != label[y[part]]]:
-                    a, b = int(x[k]), int(y[k])
-                    if label[a] != label[b] and _alike_enough(np.frombuffer(sets[a].as_buffer(), "<u8"), np.frombuffer(sets[b].as_buffer(), "<u8"), similarity):
-                        label[label == label[b]] = label[a]
-                        out.append((min(fp[a], fp[b]), max(fp[a], fp[b])))
+        for table in whole_buckets(batches, size=8 << 20):
+            fp, sets, out = table.column("fp").to_numpy(), table.column("shingles").combine_chunks(), []
+            _, label = np.unique(_or_fp(table, "root"), return_inverse=True)
+            size = pc.binary_length(sets).to_numpy().astype(np.int64) // 8
+            first, names = np.cumsum(size) - size, None
+            for x, y in _near_pairs(table, similarity, once):
+                if names is None:
+                    h = np.frombuffer(b"".join(sets.to_pylist()), "<u8")
+                    names = np.unique(h, return_inverse=True)[1].astype(np.int32)
+                    mine = np.zeros(int(names.max(initial=0)) + 1, np.int8)
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], y[order]
+                piece = np.cumsum(size[y]) >> 20  # of sets that are laid out at once
+                for row in np.split(np.arange(len(x)), np.flatnonzero((x[1:] != x[:-1]) | (piece[1:] != piece[:-1])) + 1):
+                    a, b = int(x[row[0]]), y[row]
+                    b = b[label[b] != label[a]]
+                    if not len(b):
+                        continue
+                    own, ends = names[first[a] : first[a] + size[a]], np.cumsum(size[b])
+                    mine[own] = 1
+                    at = np.arange(ends[-1]) + np.repeat(first[b] - ends + size[b], size[b])
+                    both = np.add.reduceat(mine[names[at]], ends - size[b], dtype=np.int64)
+                    mine[own] = 0
+                    b = b[both * similarity[1] >= (size[a] + size[b] - both) * similarity[0]]
+                    if len(b):
+                        found, which = np.unique(label[b], return_index=True)
+                        out += [(min(fp[a], fp[c]), max(fp[a], fp[c])) for c in b[which]]
+                        label[np.isin(label, found)] = label[a]
             if out:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, np.array(out, np.int64).T.copy())], ["a", "b"])
 
@@ -269,51 +301,71 @@ def _linked(similarity: tuple[int, int]):
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """rows (key, blocks, ...), where blocks says how many its bucket is cut into, once for each key of at most two blocks in which a row
-    meets others: every two rows of a bucket meet, in tasks of bounded size however large it is."""
+    """rows (key, field, blocks, ...), where blocks says how many its bucket is cut into, once for each key of at most two blocks in which a
+    row meets others: every two rows of a bucket meet, in tasks of bounded size however large it is. The low bits of a key are the field."""
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-    return rows.select(F.explode(met).alias("key"), *[c for c in rows.columns if c not in ("key", "blocks")])
+    met = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda j: F.shiftleft(F.xxhash64("key", F.least(own, j), F.greatest(own, j)), FIELD_BITS).bitwiseOR(F.col("field")),
+    )
+    return rows.select(F.explode(met).alias("key"), *[c for c in rows.columns if c not in ("key", "field", "blocks")])
+
+
+def _filter(rows: DataFrame, column: str) -> np.ndarray:
+    """FILTER bits, set at what the column has modulo FILTER."""
+    out = np.zeros(FILTER, bool)
+    out[rows.select(F.col(column).bitwiseAND(F.lit(FILTER - 1)).alias("x")).where("x is not null").distinct().toPandas()["x"].to_numpy(np.int64)] = True
+    return out
 
 
 def links(docs: DataFrame, sets_of: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(a, b): pairs of set hashes, each verified by the sets themselves, that connect what similar pairs in a common bucket connect.
-    sets_of: a row for each distinct set (fp, n_shingles, bands, p0..).
-
-    First, of the texts that share a field, those are found that fingerprints within the radius connect: the groups of a bucket. Each text
-    is verified against two of its group, which connects a large group of copies by a number of comparisons that follows its size; then
-    those of a group that are still apart are compared once more, tile by tile, and verified where they lie. Buckets and groups that hold
-    many texts are cut into blocks for the tiles.
+    sets_of: a row for each distinct set (fp, n_shingles, bands, p0..); with a column least, the doc_id of a row that has the set, fewer
+    texts are read again.
+
+    First, of the texts that share one of FIRST fields, those are found that fingerprints within the radius connect. What they connect
+    is compared whole, tile by tile, and verified where it lies: a text goes there once for each block, not once for each field and group.
+    (Where that were more rows than PARTS a text and than the buckets hold, the buckets are compared.) Then texts meet by all fields, and
+    pairs within the radius that were not compared yet are verified in their buckets, each where it first meets. Buckets that hold many
+    texts are cut into blocks for the tiles.
     """
-    keyed = sets_of.select("fp", "n_shingles", *_PRINT, F.explode("bands").alias("key"))
-    large = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks")).where("blocks > 1")  # there are 93 * 2,048 keys
-    dealt = in_blocks(keyed.join(F.broadcast(large), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))))
-    near = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_near_groups(similarity), "key long, fp long, n_shingles long, lo long, hi long")
-    shared = written(near, "shared")
-    wanted = np.zeros(FILTER, bool)
-    wanted[shared.select(F.col("fp").bitwiseAND(F.lit(FILTER - 1)).alias("x")).distinct().toPandas()["x"].to_numpy(np.int64)] = True
-    sets = _rows(docs).mapInArrow(_sets_of(wanted, k), "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets.join(shared.select("fp").distinct(), "fp", "left_semi"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """b may be in many pairs: its set goes to so many places that each has few of them."""
-        often = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-        total = max(1, pairs.count())
-        salted = join_groups(pairs, often, "b", "n", total).select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
-        y = sets.toDF("b", "y").join(often, "b").select("b", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
-        both = salted.join(sets.toDF("a", "x"), "a").join(y, ["b", "part"])
-        return written(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "links")
-
-    hub = F.explode(F.array("lo", "hi")).alias("b")
-    first = written(shared.select(F.col("fp").alias("a"), hub).where("a <> b").distinct(), "pairs")
-    one = verified(first)
-    label = shared.select("key", "fp", "n_shingles").join(components(one), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    label = written(label, "labels")
-    size = F.greatest(F.count(F.lit(1)) / block, F.sum("n_shingles") * 8 / BLOCK_BYTES)
-    apart = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.ceil(size).cast("long").alias("blocks")).where("lo <> hi").drop("lo", "hi")
-    rest = join_groups(label, apart, "key", "n", max(1, label.count())).drop("n").join(sets_of.select("fp", *_PRINT), "fp").join(sets, "fp")
-    two = written(in_blocks(rest).repartition("key").sortWithinPartitions("key").mapInArrow(_linked(similarity), "a long, b long").distinct(), "links")
-    for gone in (shared, label, first, sets):
+    prints = ", ".join(f"{p} long" for p in _PRINT)
+
+    def near(rows: DataFrame, bands: Column, once: bool) -> DataFrame:
+        keyed = rows.select("fp", "n_shingles", "seen", *_PRINT, F.explode(bands).alias("key"))
+        large = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks")).where("blocks > 1")  # there are 93 * 2,048 keys
+        dealt = keyed.join(F.broadcast(large), "key", "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1).cast("long")), "field": F.shiftright("key", BITS)})
+        found = in_blocks(dealt).repartition("key").sortWithinPartitions("key").mapInArrow(_near_groups(similarity, once, block), f"key long, lo long, blocks long, fp long, n_shingles long, seen long, {prints}")
+        return written(found.withColumn("field", F.col("key").bitwiseAND(F.lit((1 << FIELD_BITS) - 1))), "shared")
+
+    def verified(rows: DataFrame, once: bool) -> DataFrame:
+        """rows: key, field, blocks, fp, n_shingles, seen, root, print."""
+        fps = rows.select("fp").distinct()
+        ids = _filter(sets_of.join(fps, "fp", "left_semi"), "least") if "least" in sets_of.columns else None
+        sets = _rows(docs).mapInArrow(_sets_of(_filter(fps, "fp"), ids, k), "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+        dealt = in_blocks(rows.join(sets, "fp")).repartition("key").sortWithinPartitions("key")
+        return written(dealt.mapInArrow(_linked(similarity, once), "a long, b long").distinct(), "links")
+
+    none = F.lit(None).cast("long")
+    shared = near(sets_of.withColumn("seen", none), F.slice("bands", 1, FIRST), False)
+    least = F.min("lo").over(Window.partitionBy("fp"))  # a text has a row for each field and block; its groups are connected to the least one
+    edges = shared.select("fp", "lo", least.alias("m")).select(F.explode(F.array(F.struct(F.col("fp").alias("a"), F.col("m").alias("b")), F.struct(F.col("lo").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").distinct()
+    one_each = shared.groupBy("fp").agg(F.sum("blocks").alias("rows"), *[F.first(c).alias(c) for c in ("n_shingles", *_PRINT)])
+    group = written(one_each.join(components(edges).withColumnRenamed("root", "group"), "fp"), "groups")
+    n, held = F.count(F.lit(1)), F.sum("n_shingles") * 8
+    parts = F.greatest(F.least(F.ceil(n / min(PART, block)), F.lit(PARTS)), F.ceil(n / block), F.ceil(held / BLOCK_BYTES)).cast("long")
+    size = group.groupBy("group").agg(n.alias("n"), F.sum("rows").alias("by_bucket"), parts.alias("blocks"))
+    size = size.withColumn("whole", (F.col("blocks") <= PARTS) | (F.col("blocks") * F.col("n") <= F.col("by_bucket"))).drop("by_bucket")
+    group = written(join_groups(group, size, "group", "n", max(1, group.count())).drop("n", "rows"), "groups")
+    whole = group.where("whole").select(F.col("group").alias("key"), F.lit(0).cast("long").alias("field"), "blocks", "fp", "n_shingles", none.alias("seen"), none.alias("root"), *_PRINT)
+    large = shared.join(group.where("not whole").select("fp"), "fp", "left_semi").select("key", "field", "blocks", "fp", "n_shingles", "seen", none.alias("root"), *_PRINT)
+    one = verified(whole.unionByName(large), False)
+    roots = written(components(one), "roots")
+    seen = group.join(roots, "fp", "left").select("fp", F.when(F.col("whole"), F.col("group")).otherwise(F.col("root")).alias("seen"))
+    discard(shared)
+    shared = near(sets_of.join(seen, "fp", "left"), F.col("bands"), True)
+    two = verified(shared.drop("lo").join(roots, "fp", "left"), True)
+    for gone in (shared, group, roots):
         discard(gone)
     return one.unionByName(two)
 

@@ -589,6 +589,39 @@ def test_buckets_in_blocks_link_as_whole_ones_do(spark, make):
     assert all(len(v) == 1 for v in by_root.values()) and len(by_root) == len(set(least))
 
 
+def test_a_group_of_near_texts_goes_with_its_sets_to_few_places(spark, make, monkeypatch):
+    """Texts whose fingerprints are near, though few are similar enough: a bounded number of rows a text holds its set, not one for each field."""
+    r, texts, sent = random.Random(12), [], []
+    for n in range(120):
+        words = [f"g{i}" for i in range(150)]
+        for i in r.sample(range(150), 1 if n < 20 else 4):
+            words[i] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    cut = near_copies.in_blocks
+
+    def counted(rows):
+        out = cut(rows)
+        if "shingles" in rows.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "in_blocks", counted)
+    docs = make(list(enumerate(texts)))
+    least, pairs = brute_near_copies(list(enumerate(texts)))
+    assert 100 < len(pairs) < 120 * 119 // 4 and 20 < len(set(least)) < 120
+    assert {x.doc_id: x.component_id for x in near_copies.near_copies(docs).collect()} == dict(enumerate(least))
+    assert sent and sum(sent) <= 2 * len(texts)
+
+
+def test_pairs_are_left_to_the_first_field_they_share():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, (400, near_copies.ALL_WORDS), dtype=np.uint64)
+    b = a ^ (rng.integers(0, 1 << 63, a.shape, dtype=np.uint64) & rng.integers(0, 1 << 63, a.shape, dtype=np.uint64) & rng.integers(0, 1 << 63, a.shape, dtype=np.uint64))
+    field, equal = rng.integers(0, 93, 400), near_copies.field_keys(a) == near_copies.field_keys(b)
+    got = near_copies.met_before((a ^ b)[:, : near_copies.WORDS], field)
+    assert got.tolist() == [bool(equal[i, : min(f, 23)].any()) for i, f in enumerate(field)] and 50 < got.sum() < 400
+
+
 def test_near_dedup_keeps_one_row_of_components_without_ids(spark, make):
     long = " ".join(f"n{i}" for i in range(100))
     rows = [(None, "alone and without any id at all"), (None, long), (None, long.replace("n50 ", "other ")), (None, long + " "), (3, "has an id of its own here"), (None, "has an id of its own  here"), (None, "")]
